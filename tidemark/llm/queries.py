@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, topk
+from . import chat, jaccard, mixing, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     probe = spark.range(2).select(
@@ -32,12 +36,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_mix_sources": op8_mix_sources,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_jaccard_join": jaccard.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op10_exact_top_k": topk.ORACLE,

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
@@ -122,3 +123,17 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
         elif live.any():
             h[live] = mix64(h[live] * np.uint64(0x9E3779B97F4A7C15) + words[at[live] + k])
     return h, owner
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
+    """Consecutive slices of a batch with about ``limit`` bytes of text each, so that temporaries stay bounded."""
+    if not batch.num_rows:
+        return
+    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(False), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
