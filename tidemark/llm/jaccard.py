@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK_SCHEMA, reduce_blocks, row
 from .common import materialise
 from .components import connected_components
 from .textkernel import mix64, shingle_hashes, slices, texts_words
@@ -62,36 +63,6 @@ def _sets(column: pa.Array, size: int, levels: np.ndarray):
     return token, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int64), owner
 
 
-def _sum_blocks(dtype, op):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(2)):
-                part = np.frombuffer(blob.as_buffer(), dtype=dtype)
-                if block in sums:
-                    op(sums[block], part, out=sums[block])
-                else:
-                    sums[block] = part.copy()
-        for block, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "salt", "data"])
-
-    return run
-
-
-def _reduced(parts: DataFrame, dtype, op) -> dict[int, np.ndarray]:
-    """Blocks of fixed number and size, reduced on the executors in two levels; the driver gets one of each."""
-    schema = "block int, salt int, data binary"
-    merge = _sum_blocks(dtype, op)
-    rows = parts.repartition("block", "salt").mapInArrow(merge, schema).repartition("block").mapInArrow(merge, schema).collect()
-    return {r["block"]: np.frombuffer(r["data"], dtype=dtype) for r in rows}
-
-
-def _salt() -> int:
-    from pyspark import TaskContext
-
-    return (TaskContext.get().partitionId() if TaskContext.get() else 0) % 16
-
-
 def shingle_levels(docs: DataFrame, size: int) -> np.ndarray:
     """A frequency level (one byte) for each of 2**22 hash buckets, from the counts of all documents' shingles."""
 
@@ -103,14 +74,14 @@ def shingle_levels(docs: DataFrame, size: int) -> np.ndarray:
                 np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         if counts.any():
             for block, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_salt()], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "salt", "data"])
+                yield row(block, part)
 
     def add(a, b, out):
         s = a.astype(np.uint64) + b
         np.minimum(s, np.uint64(0xFFFFFFFF), out=s)
         out[...] = s
 
-    blocks = _reduced(docs.select("text").mapInArrow(run, "block int, salt int, data binary"), np.uint32, add)
+    blocks = reduce_blocks(docs.select("text").mapInArrow(run, BLOCK_SCHEMA), np.uint32, add)
     counts = np.concatenate([blocks.get(b, np.zeros(1 << BLOCK_BITS, np.uint32)) for b in range(1 << (SKETCH_BITS - BLOCK_BITS))])
     large = np.minimum(255, 128 + 5 * np.log2(np.maximum(counts, 128) / 128.0)).astype(np.uint8)
     return np.where(counts < 128, counts, large).astype(np.uint8)
@@ -273,9 +244,9 @@ def _node_bitmap(nodes: DataFrame) -> np.ndarray:
         for batch in batches:
             seen[bits(batch.column(0).to_numpy(False))] = True
         if seen.any():
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([_salt()], pa.int32()), pa.array([np.packbits(seen).tobytes()], pa.binary())], ["block", "salt", "data"])
+            yield row(0, np.packbits(seen))
 
-    found = _reduced(nodes.mapInArrow(run, "block int, salt int, data binary"), np.uint8, np.bitwise_or)
+    found = reduce_blocks(nodes.mapInArrow(run, BLOCK_SCHEMA), np.uint8, np.bitwise_or)
     return np.unpackbits(found[0]).astype(bool) if found else np.zeros(1 << BITMAP_BITS, dtype=bool)
 
 

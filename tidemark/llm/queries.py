@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, topk
+from . import chat, jaccard, langid, mixing, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify_languages(docs, docs.where(~langid.held_out()))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     probe = spark.range(2).select(
@@ -37,6 +43,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_language_id": op4_language_id,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_mix_sources": op8_mix_sources,
     "op10_exact_top_k": op10_exact_top_k,

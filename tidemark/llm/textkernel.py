@@ -63,6 +63,15 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[base : offsets[-1] if len(offsets) else 0], offsets - base
 
 
+def fold_case(raw: np.ndarray) -> np.ndarray:
+    """Lower-cases A-Z and the two-byte letters U+00C0 to U+00DE, byte for byte."""
+    out = _LOWER[raw]
+    second = np.flatnonzero(out[:-1] == 0xC3) + 1
+    upper = second[(out[second] >= 0x80) & (out[second] <= 0x9E) & (out[second] != 0x97)]
+    out[upper] += 0x20
+    return out
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and each text's first word (one more entry at the end)."""
     inside = ~_SPACE[raw]
