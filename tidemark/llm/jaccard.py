@@ -33,6 +33,8 @@ SKETCH_BITS = 22
 BLOCK_BITS = 16
 BITMAP_BITS = 23
 LIST_BLOCK = 64
+PARITY_BITS = 512
+SLICE = 2 << 20
 WINDOWS_FROM = 4
 WINDOW_GROWTH = 16
 
@@ -69,7 +71,7 @@ def shingle_levels(docs: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 h, _ = _raw_shingles(part.column("text"), size)
                 np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         if counts.any():
@@ -90,7 +92,7 @@ def shingle_levels(docs: DataFrame, size: int) -> np.ndarray:
 def _signatures(docs: DataFrame, size: int, num: int, den: int, levels) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 token, starts, owner = _sets(part.column("text"), size, levels.value)
                 n = np.diff(starts)
                 prefix = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
@@ -103,9 +105,12 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int, levels) -> DataF
                     upto = np.concatenate(([np.uint64(0)], mixed[:-1])).astype(np.uint64)
                     sums.append((upto[starts[1:]] - upto[starts[:-1]]).view(np.int64))
                 blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(head)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), blobs], ["doc_id", "n", "f1", "f2", "prefix"])
+                parity = np.bincount(owner * PARITY_BITS + (token & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=len(n) * PARITY_BITS) & 1
+                packed = np.packbits(parity.astype(bool).reshape(len(n), PARITY_BITS), axis=1)
+                parities = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARITY_BITS // 8), len(n), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), blobs, parities], ["doc_id", "n", "f1", "f2", "prefix", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix binary, parity binary")
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,39 +130,90 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token has more than one row."""
-    held, paired = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token = batch.column("token").to_numpy(False)
-        equal = np.concatenate(([held is not None and held.column("token")[0].as_py() == token[0]], token[1:] == token[:-1], [False]))
-        if held is not None and (paired or equal[0]):
-            yield held
-        keep = equal[:-1] | equal[1:]
-        keep[-1] = False
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-        held, paired = batch.slice(batch.num_rows - 1), bool(equal[-2])
-    if held is not None and paired:
-        yield held
-
-
 def _may_link(na, nb, pa_, pb, num, den):
     """The length and position bounds for a common token at these positions."""
     least = np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)
     return (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & ((num + den) * least >= num * (na + nb))
 
 
+def _parities(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("parity").to_pylist()), dtype="<u8").reshape(batch.num_rows, -1)
+
+
+def _differ_too_much(a, b, na, nb, num, den):
+    """A bit where the parities of two sets differ stands for at least one token that only one of them has."""
+    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (num + den) * apart > (den - num) * (na + nb)
+
+
+def _prune_lists(num: int, den: int):
+    """Of postings sorted by token, those that have a partner in their list which the bounds admit.
+
+    Lists of over LIST_BLOCK entries pass as they are; only the entries of the last, unfinished list are held.
+    """
+
+    def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
+        token, n, pos = (batch.column(x).to_numpy(False).astype(np.int64) for x in ("token", "n", "pos"))
+        parity = _parities(batch) if "parity" in batch.schema.names else None
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        sizes = np.diff(np.append(first, len(token)))
+        size = np.repeat(sizes, sizes)
+        left = size - (np.arange(len(token)) - np.repeat(first, sizes))
+        keep = size > LIST_BLOCK
+        rows = np.flatnonzero((size > 1) & ~keep)
+        for d in range(1, LIST_BLOCK):
+            rows = rows[left[rows] > d]
+            if not len(rows):
+                break
+            i, j = rows, rows + d
+            ok = _may_link(n[i], n[j], pos[i], pos[j], num, den)
+            i, j = i[ok], j[ok]
+            if parity is not None:
+                ok = ~_differ_too_much(parity[i], parity[j], n[i], n[j], num, den)
+                i, j = i[ok], j[ok]
+            keep[i] = keep[j] = True
+        return batch.filter(pa.array(keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = batch.column("token").to_numpy(False)
+            if long is not None:
+                cut = int(np.searchsorted(token != long, True)) if token[0] == long else 0
+                if cut:
+                    yield batch.slice(0, cut)
+                    batch, token = batch.slice(cut), token[cut:]
+                if not batch.num_rows:
+                    continue
+                long = None
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                token = batch.column("token").to_numpy(False)
+            last = len(token) - int(np.searchsorted(token[::-1] != token[-1], True))
+            if last:
+                yield chosen(batch.slice(0, last))
+            held = batch.slice(last)
+            if held.num_rows > LIST_BLOCK:
+                yield held
+                held, long = None, token[-1]
+        if held is not None:
+            yield chosen(held)
+
+    return run
+
+
 def _window_pairs(lo: int, hi: int, num: int, den: int):
     """Pairs at list distance lo <= d < hi, of rows sorted by (token, n, node)."""
     names = ["token", "node", "n", "pos", "comp", "pivot", "pov", "pn"]
 
     def emit(c, i, j):
-        t, node, n, pos, comp, pivot, pov, pn = c
+        t, node, n, pos, comp, pivot, pov, pn, parity = c
         ok = (t[i] == t[j]) & (comp[i] != comp[j]) & _may_link(n[i], n[j], pos[i], pos[j], num, den)
         i, j = i[ok], j[ok]
+        ok = ~_differ_too_much(parity[i], parity[j], n[i], n[j], num, den)
+        i, j = i[ok], j[ok]
         same = pivot[i] == pivot[j]
         least = np.maximum(0, pov[i] + pov[j] - pn[i])
         most = np.minimum(pov[i], pov[j]) + np.minimum(n[i] - pov[i], n[j] - pov[j])
@@ -193,7 +249,7 @@ def _window_pairs(lo: int, hi: int, num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = [batch.column(x).to_numpy(False).astype(np.int64) for x in names]
+            c = [*(batch.column(x).to_numpy(False).astype(np.int64) for x in names), _parities(batch)]
             new = 0
             if held is not None:
                 new = len(held[0])
@@ -256,7 +312,7 @@ def _node_sets(docs: DataFrame, size: int, levels, bitmap) -> DataFrame:
             ids = batch.column("doc_id")
             hashed = mix64(ids.fill_null(0).to_numpy(False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)
             keep = bitmap.value[hashed.astype(np.int64)] & ids.is_valid().to_numpy(False)
-            for part in slices(batch.filter(pa.array(keep))):
+            for part in slices(batch.filter(pa.array(keep)), limit=SLICE):
                 token, starts, _ = _sets(part.column("text"), size, levels.value)
                 data = token.astype("<u8").tobytes()
                 blobs = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(starts * 8), pa.py_buffer(data)]).cast(pa.binary())
@@ -287,7 +343,11 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 4, percent: int = 85)
     chosen = classes.select("node", F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"))
     prefixes = signatures.join(chosen, (F.col("doc_id") == F.col("node")) & (F.col("n") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")))
     postings = prefixes.select("node", "n", "prefix").mapInArrow(_explode, "token long, node long, n int, pos int")
-    lists = materialise(postings.repartition("token").sortWithinPartitions("token").mapInArrow(_keep_shared, "token long, node long, n int, pos int"), "lists")
+    plain = "token long, node long, n int, pos int"
+    lists = materialise(postings.repartition("token").sortWithinPartitions("token").mapInArrow(_prune_lists(num, den), plain), "lists")
+    parities = prefixes.select(F.col("node").alias("pnode"), "parity")
+    lists = lists.join(parities, F.col("node") == F.col("pnode")).select("token", "node", "n", "pos", "parity")
+    lists = materialise(lists.repartition("token").sortWithinPartitions("token").mapInArrow(_prune_lists(num, den), f"{plain}, parity binary"), "pruned-lists")
     labels = None
     if not lists.isEmpty():
         labels = _link_lists(docs, lists, shingle, num, den, levels)
@@ -310,7 +370,7 @@ def _link_lists(docs: DataFrame, lists: DataFrame, shingle: int, num: int, den:
     bitmap = spark.sparkContext.broadcast(_node_bitmap(lists.select("node")))
     sets = materialise(_node_sets(docs, shingle, levels, bitmap), "sets")
     known_links, checked, labels = None, None, None
-    left = lists.select("token", "node", "n", "pos", F.col("node").alias("comp"), F.col("node").alias("pivot"), F.col("n").alias("pov"), F.col("n").alias("pn"))
+    left = lists.select("token", "node", "n", "pos", "parity", F.col("node").alias("comp"), F.col("node").alias("pivot"), F.col("n").alias("pov"), F.col("n").alias("pn"))
     lo, hi = 1, WINDOWS_FROM
     while True:
         pairs = materialise(
@@ -339,7 +399,7 @@ def _link_lists(docs: DataFrame, lists: DataFrame, shingle: int, num: int, den:
         )
         own = F.col("p").isNull() | (F.col("node") < F.col("p"))
         left = lists.join(state, F.col("node") == F.col("w"), "left").select(
-            "token", "node", "n", "pos", F.coalesce("label", "node").alias("comp"),
+            "token", "node", "n", "pos", "parity", F.coalesce("label", "node").alias("comp"),
             F.when(own, F.col("node")).otherwise(F.col("p")).alias("pivot"),
             F.when(own, F.col("n")).otherwise(F.col("both")).alias("pov"),
             F.when(own, F.col("n")).otherwise(F.col("spn")).alias("pn"),
