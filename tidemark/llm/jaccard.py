@@ -365,6 +365,16 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 4, percent: int = 85)
     )
 
 
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names its component: one document of each group; rows with a null doc_id stay.
+
+    Rows that repeat a doc_id stay or go together.
+    """
+    found = jaccard_components(docs, **options)
+    dropped = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_gone")).agg(F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("_far")).where("_far = 1").select("_gone")
+    return docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def _link_lists(docs: DataFrame, lists: DataFrame, shingle: int, num: int, den: int, levels) -> DataFrame | None:
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(_node_bitmap(lists.select("node")))

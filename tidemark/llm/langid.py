@@ -138,42 +138,64 @@ def fit(counts: dict[str, np.ndarray], smoothing: float = 0.5) -> EcocModel:
     return EcocModel(languages, code, weights, scale, importance / max(importance.sum(), 1e-9))
 
 
+def _decide(m: EcocModel, column: pa.Array):
+    """(language index, score, ambiguous) of every text; the index after the last language means undetermined."""
+    raw, offsets, grams = _features(column)
+    n, bits = len(column), m.code.shape[1]
+    lengths = np.diff(offsets)
+    full = lengths > 0
+    margins = np.zeros((n, bits))
+    if full.any():
+        begin = offsets[:-1][full]
+        for g in grams:
+            for b in range(bits):
+                margins[full, b] += np.add.reduceat(m.weights[:, b][g], begin, dtype=np.float64)
+        total = sum(np.maximum(lengths - (k - 1), 0) for k in ORDERS)
+        margins[full] /= np.maximum(total[full], 1)[:, None]
+    letters = has_letter(raw, offsets) if len(m.languages) else np.zeros(n, bool)
+    if len(m.languages) > 1:
+        losses = m.losses(margins)
+        odds = np.exp(-SHARPNESS * (losses - losses.min(axis=1, keepdims=True)))
+        odds /= odds.sum(axis=1, keepdims=True)
+        best, score = odds.argmax(axis=1), odds.max(axis=1)
+    else:
+        best, score = np.zeros(n, dtype=int), np.ones(n)
+    score = np.where(letters, score, 0.0)
+    return np.where(letters, best, len(m.languages)), score, letters & (score < m.ambiguous)
+
+
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: EcocModel = model.value
-        names = np.array([*m.languages, "und"], dtype=object)
+        names = np.array([*model.value.languages, "und"], dtype=object)
         for batch in batches:
             for part in slices(batch, limit=SLICE):
-                raw, offsets, grams = _features(part.column("text"))
-                n, bits = len(part), m.code.shape[1]
-                lengths = np.diff(offsets)
-                full = lengths > 0
-                margins = np.zeros((n, bits))
-                if full.any():
-                    begin = offsets[:-1][full]
-                    for g in grams:
-                        for b in range(bits):
-                            margins[full, b] += np.add.reduceat(m.weights[:, b][g], begin, dtype=np.float64)
-                    total = sum(np.maximum(lengths - (k - 1), 0) for k in ORDERS)
-                    margins[full] /= np.maximum(total[full], 1)[:, None]
-                letters = has_letter(raw, offsets) if len(m.languages) else np.zeros(n, bool)
-                if len(m.languages) > 1:
-                    losses = m.losses(margins)
-                    odds = np.exp(-SHARPNESS * (losses - losses.min(axis=1, keepdims=True)))
-                    odds /= odds.sum(axis=1, keepdims=True)
-                    best, score = odds.argmax(axis=1), odds.max(axis=1)
-                else:
-                    best, score = np.zeros(n, dtype=int), np.ones(n)
-                best = np.where(letters, best, len(m.languages))
-                score = np.where(letters, score, 0.0)
+                best, score, unsure = _decide(model.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in part.schema.names if c != "text"], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(letters & (score < m.ambiguous))],
-                    [*[c for c in part.schema.names if c != "text"], "lang_pred", "score", "ambiguous"],
+                    [part.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"]
                 )
 
     return run
 
 
+def _learn(docs: DataFrame, training: DataFrame | None, ambiguous: float):
+    model = fit(gram_counts(training.where("lang IS NOT NULL AND text IS NOT NULL")) if training is not None else {})
+    model.ambiguous = ambiguous
+    return docs.sparkSession.sparkContext.broadcast(model)  # 32,769 x bits weights: as large for any corpus
+
+
+def keep_identified(docs: DataFrame, training: DataFrame | None = None, *, ambiguous: float = 0.6) -> DataFrame:
+    """The rows of ``docs`` whose language is determined and not ambiguous, all columns as they are; one scan, no shuffle."""
+    shared = _learn(docs, training, ambiguous)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=SLICE):
+                best, _, unsure = _decide(shared.value, part.column("text"))
+                yield part.filter(pa.array((best < len(shared.value.languages)) & ~unsure))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_languages(docs: DataFrame, training: DataFrame | None = None, *, ambiguous: float = 0.6) -> DataFrame:
     """Predict the language of every text.
 
@@ -184,9 +206,7 @@ def identify_languages(docs: DataFrame, training: DataFrame | None = None, *, am
     get it with score 1. ``ambiguous`` flags a best score below that limit. Only the text enters a
     prediction. Repeated rows and ids are predicted each; an empty table gives no rows.
     """
-    model = fit(gram_counts(training.where("lang IS NOT NULL AND text IS NOT NULL")) if training is not None else {})
-    model.ambiguous = ambiguous
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 32,769 x bits weights: as large for any corpus
+    shared = _learn(docs, training, ambiguous)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean"
     return docs.select("doc_id", "text").mapInArrow(_predict(shared), schema)
 
