@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, mixing, tokenfile, topk
+from . import chat, decontaminate, htmltext, jaccard, langid, mixing, tokenfile, topk
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -49,6 +49,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_html_extraction": op7_html_extraction,
     "op8_mix_sources": op8_mix_sources,
     "op10_exact_top_k": op10_exact_top_k,
 }
