@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmltext, jaccard, langid, mixing, tokenfile, topk
+from . import chat, decontaminate, htmltext, jaccard, langid, lines, mixing, tokencount, tokenfile, topk
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +40,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     probe = spark.range(2).select(
@@ -57,6 +61,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -67,14 +75,17 @@ QUERIES: dict[str, Query] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_html_extraction": op7_html_extraction,
     "op8_mix_sources": op8_mix_sources,
+    "op9_token_counts": op9_token_counts,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": jaccard.ORACLE,
+    "op5_line_dedup": lines.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
