@@ -8,8 +8,8 @@
 3. The prefixes of the representatives make inverted lists. Entries are ordered by set size;
    blocks of entries carry their ranges of size, position and component, and block pairs that the
    length and position bounds rule out are skipped as a whole.
-4. Candidates are tried in windows of list distance: 1-3, 4-63, 64-1023 and so on. Between windows
-   the links found so far are joined to components, and a pair inside one component is skipped: its
+4. First each set is compared with its likeliest partner, by parity bitmaps. Then candidates are tried
+   in windows of list distance: 1-3, 4-63, 64-1023 and so on. Between these steps the links found so far are joined to components, and a pair inside one component is skipped: its
    answer follows. A pair whose overlaps with a common third set are known is decided from them
    where the bounds allow (derived answers); only the others are verified on the sets.
    Every pair of every list is reached by some window, so no link between components is lost.
@@ -268,6 +268,55 @@ def _window_pairs(lo: int, hi: int, num: int, den: int):
     return run
 
 
+def _nearest_partners(num: int, den: int, longest: int = 4096):
+    """For every posting, of rows sorted by token, the partner in its list whose parity bitmap differs least.
+
+    A guess at what will link: lists are looked at in stretches of up to ``longest`` entries, and what it misses is left to the windows.
+    """
+
+    def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
+        token, node, n, pos = (batch.column(x).to_numpy(False).astype(np.int64) for x in ("token", "node", "n", "pos"))
+        parity = _parities(batch)
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        sizes = np.diff(np.append(first, len(token)))
+        left = np.repeat(sizes, sizes) - (np.arange(len(token)) - np.repeat(first, sizes))
+        best, least = np.full(len(token), -1), np.full(len(token), 1 << 30)
+        rows, d = np.flatnonzero(left > 1), 1
+        while len(rows):
+            i, j = rows, rows + d
+            ok = _may_link(n[i], n[j], pos[i], pos[j], num, den) & (node[i] != node[j])
+            i, j = i[ok], j[ok]
+            apart = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+            ok = (num + den) * apart <= (den - num) * (n[i] + n[j])
+            i, j, apart = i[ok], j[ok], apart[ok]
+            for x, y in ((i, j), (j, i)):
+                better = apart < least[x]
+                least[x[better]], best[x[better]] = apart[better], y[better]
+            d += 1
+            rows = rows[left[rows] > d]
+        hit = np.flatnonzero(best >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(least[hit]), pa.array(node[best[hit]])], ["node", "apart", "partner"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            token = batch.column("token").to_numpy(False)
+            last = len(token) - int(np.searchsorted(token[::-1] != token[-1], True))
+            if len(token) - last > longest:
+                last = len(token)
+            if last:
+                yield chosen(batch.slice(0, last))
+            held = batch.slice(last) if last < len(token) else None
+        if held is not None:
+            yield chosen(held)
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, own = None, []
@@ -375,30 +424,31 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     return docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
-def _link_lists(docs: DataFrame, lists: DataFrame, shingle: int, num: int, den: int, levels) -> DataFrame | None:
+def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The overlap of each pair (a, b): the sets go to the pair's first node, its own once."""
+    asked = pairs.select(F.col("a").alias("home"), F.col("b").alias("member"))
+    asked = asked.unionByName(asked.select("home", F.col("home").alias("member")).distinct())
+    found = (
+        asked.join(sets, F.col("member") == F.col("doc")).select("home", "member", "tokens", (F.col("member") != F.col("home")).alias("other"))
+        .repartition("home").sortWithinPartitions("home", "other")
+        .mapInArrow(_verify(num, den), "a long, b long, both long, na long, nb long, linked boolean")
+    )
+    return materialise(found, "verified")
+
+
+def _link_lists(docs: DataFrame, lists: DataFrame, shingle: int, num: int, den: int, levels) -> DataFrame:
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(_node_bitmap(lists.select("node")))
     sets = materialise(_node_sets(docs, shingle, levels, bitmap), "sets")
-    known_links, checked, labels = None, None, None
-    left = lists.select("token", "node", "n", "pos", "parity", F.col("node").alias("comp"), F.col("node").alias("pivot"), F.col("n").alias("pov"), F.col("n").alias("pn"))
+    # First each node's likeliest partner: most groups hang together by these links alone.
+    guesses = lists.repartition("token").sortWithinPartitions("token").mapInArrow(_nearest_partners(num, den), "node long, apart long, partner long")
+    best = guesses.groupBy("node").agg(F.min(F.struct("apart", "partner")).alias("s"))
+    pairs = materialise(best.select(F.least("node", "s.partner").alias("a"), F.greatest("node", "s.partner").alias("b")).distinct(), "pairs")
+    checked = _checked(pairs, sets, num, den)
+    links = checked.where("linked").select("a", "b")
     lo, hi = 1, WINDOWS_FROM
     while True:
-        pairs = materialise(
-            left.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_window_pairs(lo, hi, num, den), "a long, b long, known boolean")
-            .groupBy("a", "b").agg(F.max("known").alias("known")), "pairs"
-        )
-        asked = pairs.where("NOT known").select(F.col("a").alias("home"), F.col("b").alias("member"))
-        asked = asked.unionByName(asked.select("home", F.col("home").alias("member")).distinct())
-        found = (
-            asked.join(sets, F.col("member") == F.col("doc")).select("home", "member", "tokens", (F.col("member") != F.col("home")).alias("other"))
-            .repartition("home").sortWithinPartitions("home", "other")
-            .mapInArrow(_verify(num, den), "a long, b long, both long, na long, nb long, linked boolean")
-        )
-        found = materialise(found, "verified")
-        new = found.where("linked").select("a", "b").unionByName(pairs.where("known").select("a", "b"))
-        known_links = new if known_links is None else known_links.unionByName(new)
-        checked = found if checked is None else checked.unionByName(found)
-        labels = connected_components(known_links)
+        labels = connected_components(links)
         both = checked.select(F.col("a").alias("v"), F.struct(F.col("b").alias("p"), "both", F.col("nb").alias("pn")).alias("s")).unionByName(
             checked.select(F.col("b").alias("v"), F.struct(F.col("a").alias("p"), "both", F.col("na").alias("pn")).alias("s"))
         )
@@ -414,10 +464,18 @@ def _link_lists(docs: DataFrame, lists: DataFrame, shingle: int, num: int, den:
             F.when(own, F.col("n")).otherwise(F.col("both")).alias("pov"),
             F.when(own, F.col("n")).otherwise(F.col("spn")).alias("pn"),
         )
-        open_ = left.groupBy(F.col("token").alias("ot")).agg(F.count("*").alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where((F.col("g") > hi) & (F.col("c0") < F.col("c1")))
+        open_ = left.groupBy(F.col("token").alias("ot")).agg(F.count("*").alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where((F.col("g") > lo) & (F.col("c0") < F.col("c1")))
         left = materialise(left.join(open_, F.col("token") == F.col("ot")).select(*left.columns), "open-lists")
         if left.isEmpty():
             return labels
+        pairs = materialise(
+            left.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_window_pairs(lo, hi, num, den), "a long, b long, known boolean")
+            .groupBy("a", "b").agg(F.max("known").alias("known")), "pairs"
+        )
+        fresh = pairs.where("NOT known").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        found = _checked(fresh, sets, num, den)
+        links = links.unionByName(found.where("linked").select("a", "b")).unionByName(pairs.where("known").select("a", "b"))
+        checked = checked.unionByName(found)
         lo, hi = hi, hi * WINDOW_GROWTH
 
 
