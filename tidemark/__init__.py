@@ -1,0 +1,3 @@
+"""Chaptering and temporal retrieval over many recordings, as DataFrame operators."""
+
+__version__ = "0.1.0"
