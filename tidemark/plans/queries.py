@@ -532,3 +532,35 @@ def selected_frames(spark, d):
 def search_events(spark, d):
     q = "the and of"
     return retrieve.search_events(T.turns(spark, d).select(F.concat_ws("-", "video_id", "event_id").alias("event_id"), "text"), q)
+
+
+@query("streaming_sample", GREEDY)
+def streaming_sample(spark, d):
+    """The stateful sampler over the frames as a stream of one file, run to its end; equal to the batch sampler."""
+    from ..shared import new_path
+    from ..streaming.sampler import streaming_sample as sample
+
+    source, out, state = (new_path(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
+    frames = T.frames(spark, d).select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "time_sec")
+    frames.write.parquet(source)
+    stream = sample(spark.readStream.schema(frames.schema).parquet(source), interval=DAY)
+    run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select("video_id", "frame_idx", r6("time_sec").alias("time_sec"))
+
+
+@query("index_json_roundtrip", f"""WITH {T.CURVE}{T.MINIMA}{EVENTS_SQL.format(bounds='minima')}""".replace("SELECT g.video_id, printf", "SELECT g.video_id, '/v/' || g.video_id AS video_path, t1 AS duration_sec, (count(*) OVER (PARTITION BY g.video_id))::INTEGER AS n_events, printf").replace(", boundary_score, n_samples, samples\n", "\n"))
+def index_json_roundtrip(spark, d):
+    """Events written as an index table and read back."""
+    from ..shared import new_path
+    from ..sources import index
+
+    scored, minima = _minima(spark, d)
+    ends = scored.groupBy("video_id").agg(F.max("time_sec").alias("end_sec"))
+    events = segments.event_spans(segments.assign_parts(scored.withColumn("fused", F.col("z")), minima), ends)
+    videos = ends.select("video_id", F.concat(F.lit("/v/"), "video_id").alias("path"), F.col("end_sec").alias("duration_sec"))
+    path = new_path(spark, "index")
+    index.write_index_table(index.index_rows(events, videos), path)
+    return index.read_index(spark, path, lines=True).select("video_id", "video_path", "duration_sec", F.size("events").alias("n_events"), F.explode("events").alias("e")).select(
+        "video_id", "video_path", "duration_sec", "n_events", "e.event_id", "e.start_frame", "e.end_frame", "e.start_time", "e.end_time"
+    )
