@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,7 +65,18 @@ def test_equals_brute_force(spark, seed, size, percent):
 
 def test_windows_reach_all_pairs(spark, monkeypatch):
     """Without the first guesses and with lists in small blocks, the windows alone find every link."""
-    monkeypatch.setattr(jaccard, "_nearest_partners", lambda num, den: lambda batches: iter(()))
+    prune = jaccard._prune_lists
+
+    def without_guesses(num, den, guess=False):
+        inner = prune(num, den, guess)
+
+        def run(batches):
+            for b in inner(batches):
+                yield b.set_column(4, "partner", pa.nulls(b.num_rows, pa.int64())) if guess else b
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_prune_lists", without_guesses)
     monkeypatch.setattr(jaccard, "LIST_BLOCK", 8)
     monkeypatch.setattr(jaccard, "WINDOWS_FROM", 2)
     rows = corpus(5, copies=60)

@@ -34,6 +34,7 @@ BLOCK_BITS = 16
 BITMAP_BITS = 23
 LIST_BLOCK = 64
 PARITY_BITS = 512
+SMALL_ROWS = 200_000
 SLICE = 2 << 20
 WINDOWS_FROM = 4
 WINDOW_GROWTH = 16
@@ -146,32 +147,44 @@ def _differ_too_much(a, b, na, nb, num, den):
     return (num + den) * apart > (den - num) * (na + nb)
 
 
-def _prune_lists(num: int, den: int):
+def _prune_lists(num: int, den: int, guess: bool = False, stretch: int = 4096):
     """Of postings sorted by token, those that have a partner in their list which the bounds admit.
 
-    Lists of over LIST_BLOCK entries pass as they are; only the entries of the last, unfinished list are held.
+    Lists of over LIST_BLOCK entries pass as they are, and only ``stretch`` entries of a list are held
+    at once. With ``guess`` the bounds include the parity bitmaps, and each entry gets the partner
+    whose bitmap differs least: a guess at what will link; what it misses is left to the windows.
     """
 
-    def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
-        token, n, pos = (batch.column(x).to_numpy(False).astype(np.int64) for x in ("token", "n", "pos"))
-        parity = _parities(batch) if "parity" in batch.schema.names else None
+    def chosen(batch: pa.RecordBatch, long) -> pa.RecordBatch:
+        token, node, n, pos = (batch.column(x).to_numpy(False).astype(np.int64) for x in ("token", "node", "n", "pos"))
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         sizes = np.diff(np.append(first, len(token)))
         size = np.repeat(sizes, sizes)
         left = size - (np.arange(len(token)) - np.repeat(first, sizes))
         keep = size > LIST_BLOCK
-        rows = np.flatnonzero((size > 1) & ~keep)
-        for d in range(1, LIST_BLOCK):
-            rows = rows[left[rows] > d]
-            if not len(rows):
-                break
+        if long is not None:
+            keep |= token == long
+        rows = np.flatnonzero(left > 1) if guess else np.flatnonzero((left > 1) & ~keep)
+        parity = _parities(batch) if guess else None
+        best, least = np.full(len(token), -1), np.full(len(token), 1 << 30)
+        d = 1
+        while len(rows):
             i, j = rows, rows + d
-            ok = _may_link(n[i], n[j], pos[i], pos[j], num, den)
+            ok = _may_link(n[i], n[j], pos[i], pos[j], num, den) & (node[i] != node[j])
             i, j = i[ok], j[ok]
-            if parity is not None:
-                ok = ~_differ_too_much(parity[i], parity[j], n[i], n[j], num, den)
-                i, j = i[ok], j[ok]
+            if guess:
+                apart = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+                ok = (num + den) * apart <= (den - num) * (n[i] + n[j])
+                i, j, apart = i[ok], j[ok], apart[ok]
+                for x, y in ((i, j), (j, i)):
+                    better = apart < least[x]
+                    least[x[better]], best[x[better]] = apart[better], y[better]
             keep[i] = keep[j] = True
+            d += 1
+            rows = rows[left[rows] > d]
+        if guess:
+            partner = pa.array(node[np.maximum(best, 0)], mask=best < 0)
+            batch = pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("token", "node", "n", "pos")), partner, pa.array(least)], ["token", "node", "n", "pos", "partner", "apart"])
         return batch.filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,27 +192,20 @@ def _prune_lists(num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token = batch.column("token").to_numpy(False)
-            if long is not None:
-                cut = int(np.searchsorted(token != long, True)) if token[0] == long else 0
-                if cut:
-                    yield batch.slice(0, cut)
-                    batch, token = batch.slice(cut), token[cut:]
-                if not batch.num_rows:
-                    continue
-                long = None
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-                token = batch.column("token").to_numpy(False)
+            token = batch.column("token").to_numpy(False)
             last = len(token) - int(np.searchsorted(token[::-1] != token[-1], True))
             if last:
-                yield chosen(batch.slice(0, last))
+                yield chosen(batch.slice(0, last), long)
+                long = None
             held = batch.slice(last)
-            if held.num_rows > LIST_BLOCK:
-                yield held
-                held, long = None, token[-1]
+            if held.num_rows > stretch:
+                long = token[-1]
+                yield chosen(held, long)
+                held = None
         if held is not None:
-            yield chosen(held)
+            yield chosen(held, long)
 
     return run
 
@@ -268,55 +274,6 @@ def _window_pairs(lo: int, hi: int, num: int, den: int):
     return run
 
 
-def _nearest_partners(num: int, den: int, longest: int = 4096):
-    """For every posting, of rows sorted by token, the partner in its list whose parity bitmap differs least.
-
-    A guess at what will link: lists are looked at in stretches of up to ``longest`` entries, and what it misses is left to the windows.
-    """
-
-    def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
-        token, node, n, pos = (batch.column(x).to_numpy(False).astype(np.int64) for x in ("token", "node", "n", "pos"))
-        parity = _parities(batch)
-        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        sizes = np.diff(np.append(first, len(token)))
-        left = np.repeat(sizes, sizes) - (np.arange(len(token)) - np.repeat(first, sizes))
-        best, least = np.full(len(token), -1), np.full(len(token), 1 << 30)
-        rows, d = np.flatnonzero(left > 1), 1
-        while len(rows):
-            i, j = rows, rows + d
-            ok = _may_link(n[i], n[j], pos[i], pos[j], num, den) & (node[i] != node[j])
-            i, j = i[ok], j[ok]
-            apart = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
-            ok = (num + den) * apart <= (den - num) * (n[i] + n[j])
-            i, j, apart = i[ok], j[ok], apart[ok]
-            for x, y in ((i, j), (j, i)):
-                better = apart < least[x]
-                least[x[better]], best[x[better]] = apart[better], y[better]
-            d += 1
-            rows = rows[left[rows] > d]
-        hit = np.flatnonzero(best >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(least[hit]), pa.array(node[best[hit]])], ["node", "apart", "partner"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            token = batch.column("token").to_numpy(False)
-            last = len(token) - int(np.searchsorted(token[::-1] != token[-1], True))
-            if len(token) - last > longest:
-                last = len(token)
-            if last:
-                yield chosen(batch.slice(0, last))
-            held = batch.slice(last) if last < len(token) else None
-        if held is not None:
-            yield chosen(held)
-
-    return run
-
-
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, own = None, []
@@ -394,12 +351,13 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 4, percent: int = 85)
     postings = prefixes.select("node", "n", "prefix").mapInArrow(_explode, "token long, node long, n int, pos int")
     plain = "token long, node long, n int, pos int"
     lists = materialise(postings.repartition("token").sortWithinPartitions("token").mapInArrow(_prune_lists(num, den), plain), "lists")
-    parities = prefixes.select(F.col("node").alias("pnode"), "parity")
+    parities = signatures.join(chosen, (F.col("doc_id") == F.col("node")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))).select(F.col("node").alias("pnode"), "parity")
     lists = lists.join(parities, F.col("node") == F.col("pnode")).select("token", "node", "n", "pos", "parity")
-    lists = materialise(lists.repartition("token").sortWithinPartitions("token").mapInArrow(_prune_lists(num, den), f"{plain}, parity binary"), "pruned-lists")
+    guessed = lists.repartition("token").sortWithinPartitions("token").mapInArrow(_prune_lists(num, den, guess=True), f"{plain}, partner long, apart long")
+    lists = materialise(guessed, "pruned-lists")
     labels = None
     if not lists.isEmpty():
-        labels = _link_lists(docs, lists, shingle, num, den, levels)
+        labels = _link_lists(docs, lists, parities, shingle, num, den, levels)
     named = classes if labels is None else classes.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
     named = materialise(named.where("copies > 1 OR node IS NOT NULL").select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "node", "copies"), "named")
     # A class with over a thousandth of all rows is one of at most a thousand: those are broadcast, so no key is hot in the other join.
@@ -425,49 +383,56 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The overlap of each pair (a, b): the sets go to the pair's first node, its own once."""
+    """The overlap of each pair (a, b): the sets go to the pair's first node, its own once.
+
+    Up to SMALL_ROWS requests go to the sets by broadcast (16 bytes each), more by a shuffle of both.
+    """
     asked = pairs.select(F.col("a").alias("home"), F.col("b").alias("member"))
     asked = asked.unionByName(asked.select("home", F.col("home").alias("member")).distinct())
+    if 2 * pairs.count() <= SMALL_ROWS:
+        asked = F.broadcast(asked)
     found = (
-        asked.join(sets, F.col("member") == F.col("doc")).select("home", "member", "tokens", (F.col("member") != F.col("home")).alias("other"))
+        sets.join(asked, F.col("member") == F.col("doc")).select("home", "member", "tokens", (F.col("member") != F.col("home")).alias("other"))
         .repartition("home").sortWithinPartitions("home", "other")
         .mapInArrow(_verify(num, den), "a long, b long, both long, na long, nb long, linked boolean")
     )
     return materialise(found, "verified")
 
 
-def _link_lists(docs: DataFrame, lists: DataFrame, shingle: int, num: int, den: int, levels) -> DataFrame:
+def _link_lists(docs: DataFrame, lists: DataFrame, parities: DataFrame, shingle: int, num: int, den: int, levels) -> DataFrame:
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(_node_bitmap(lists.select("node")))
+    parities = materialise(parities.join(lists.select(F.col("node").alias("need")).distinct(), F.col("pnode") == F.col("need"), "left_semi"), "parities")
     sets = materialise(_node_sets(docs, shingle, levels, bitmap), "sets")
     # First each node's likeliest partner: most groups hang together by these links alone.
-    guesses = lists.repartition("token").sortWithinPartitions("token").mapInArrow(_nearest_partners(num, den), "node long, apart long, partner long")
-    best = guesses.groupBy("node").agg(F.min(F.struct("apart", "partner")).alias("s"))
+    best = lists.where("partner IS NOT NULL").groupBy("node").agg(F.min(F.struct("apart", "partner")).alias("s"))
     pairs = materialise(best.select(F.least("node", "s.partner").alias("a"), F.greatest("node", "s.partner").alias("b")).distinct(), "pairs")
     checked = _checked(pairs, sets, num, den)
     links = checked.where("linked").select("a", "b")
+    current = lists.select("token", "node", "n", "pos")
     lo, hi = 1, WINDOWS_FROM
     while True:
+        # Only lists with more than one component left, and entries further apart than tried, stay open.
         labels = connected_components(links)
+        named = labels.select(F.col("node").alias("w"), "label")
+        current = materialise(current.join(named, F.col("node") == F.col("w"), "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("comp")), "lists")
+        open_ = current.groupBy(F.col("token").alias("ot")).agg(F.count("*").alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where((F.col("g") > lo) & (F.col("c0") < F.col("c1")))
+        current = materialise(current.join(open_, F.col("token") == F.col("ot")).select("token", "node", "n", "pos", "comp"), "open-lists")
+        if current.isEmpty():
+            return labels
         both = checked.select(F.col("a").alias("v"), F.struct(F.col("b").alias("p"), "both", F.col("nb").alias("pn")).alias("s")).unionByName(
             checked.select(F.col("b").alias("v"), F.struct(F.col("a").alias("p"), "both", F.col("na").alias("pn")).alias("s"))
         )
         pivots = both.groupBy("v").agg(F.min("s").alias("s"))
-        state = (
-            labels.join(pivots, F.col("node") == F.col("v"), "full")
-            .select(F.coalesce("node", "v").alias("w"), "label", F.col("s.p").alias("p"), F.col("s.both").alias("both"), F.col("s.pn").alias("spn"))
+        needed = current.select(F.col("node").alias("need")).distinct()
+        facts = parities.join(needed, F.col("pnode") == F.col("need"), "left_semi").join(pivots, F.col("pnode") == F.col("v"), "left")
+        own = F.col("s").isNull() | (F.col("node") < F.col("s.p"))
+        left = current.join(facts, F.col("node") == F.col("pnode")).select(
+            "token", "node", "n", "pos", "parity", "comp",
+            F.when(own, F.col("node")).otherwise(F.col("s.p")).alias("pivot"),
+            F.when(own, F.col("n")).otherwise(F.col("s.both")).alias("pov"),
+            F.when(own, F.col("n")).otherwise(F.col("s.pn")).alias("pn"),
         )
-        own = F.col("p").isNull() | (F.col("node") < F.col("p"))
-        left = lists.join(state, F.col("node") == F.col("w"), "left").select(
-            "token", "node", "n", "pos", "parity", F.coalesce("label", "node").alias("comp"),
-            F.when(own, F.col("node")).otherwise(F.col("p")).alias("pivot"),
-            F.when(own, F.col("n")).otherwise(F.col("both")).alias("pov"),
-            F.when(own, F.col("n")).otherwise(F.col("spn")).alias("pn"),
-        )
-        open_ = left.groupBy(F.col("token").alias("ot")).agg(F.count("*").alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where((F.col("g") > lo) & (F.col("c0") < F.col("c1")))
-        left = materialise(left.join(open_, F.col("token") == F.col("ot")).select(*left.columns), "open-lists")
-        if left.isEmpty():
-            return labels
         pairs = materialise(
             left.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_window_pairs(lo, hi, num, den), "a long, b long, known boolean")
             .groupBy("a", "b").agg(F.max("known").alias("known")), "pairs"
@@ -476,6 +441,7 @@ def _link_lists(docs: DataFrame, lists: DataFrame, shingle: int, num: int, den:
         found = _checked(fresh, sets, num, den)
         links = links.unionByName(found.where("linked").select("a", "b")).unionByName(pairs.where("known").select("a", "b"))
         checked = checked.unionByName(found)
+        current = current.drop("comp")
         lo, hi = hi, hi * WINDOW_GROWTH
 
 
