@@ -203,7 +203,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, level: int
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], ["shard", "path", "docs", "tokens"])
 
     frames = docs.mapInArrow(compress, "doc_id long, n long, frame binary").withColumn("bucket", bucket)
-    ordered = frames.repartition(max(1, len(cuts) + 1), "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "frame")
+    ordered = frames.repartitionById(len(cuts) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "frame")
     manifest = materialise(ordered.mapInArrow(write, "shard long, path string, docs long, tokens long"), "manifest")
     return TokenFiles(manifest, f"{folder}/dictionary-{digest[:16]}.zdict", len(cuts) + 1)
 
