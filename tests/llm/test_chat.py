@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from tidemark.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, valid string"
-NASTY = st.text(alphabet=st.sampled_from(list("\\#<:/turn>bhlc \n é\U0001f600") + ["</turn>", "### ", "\\h"]), max_size=12)
+NASTY = st.lists(st.sampled_from([*"\\#<:/turn>bhlc \n\u00e9\U0001f600", "</turn>", "### ", "\\h"]), max_size=12).map("".join)
 
 
 def want(turns):
