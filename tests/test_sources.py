@@ -3,7 +3,7 @@ import json
 import pytest
 
 from tidemark import cli
-from tidemark.sources import adapters, frames, index
+from tidemark.sources import adapters, frames, index, titles
 from tidemark.streaming.sampler import streaming_sample
 from tests.test_segments import recording
 
@@ -45,6 +45,31 @@ def test_frame_source(spark, tmp_path):
     assert df.where("frame_idx <= 1").count() == 4
 
 
+def test_frame_index_cache(spark, tmp_path):
+    rows, _ = recording("a", [4])
+    write_recording(tmp_path / "a.jsonl", rows)
+    cache = str(tmp_path / "cache")
+    for want in (4, 4):
+        assert frames.frame_index(spark, str(tmp_path / "*.jsonl"), cache_dir=cache).count() == want
+    assert len([p for p in (tmp_path / "cache").iterdir()]) == 1
+    write_recording(tmp_path / "a.jsonl", rows[:2])
+    assert frames.frame_index(spark, str(tmp_path / "*.jsonl"), cache_dir=cache).count() == 2
+
+
+def test_request_content(spark, tmp_path):
+    rows, _ = recording("a", [6])
+    write_recording(tmp_path / "a.jsonl", rows)
+    events = spark.createDataFrame([("a", "0000", 0.0, 3.0, "x", "", [0, 1, 2]), ("a", "0001", 3.0, 6.0, "", "", [3, 99])], "video_id string, event_id string, start_time double, end_time double, ocr_text string, transcript_text string, sample_indices array<int>")
+    videos = spark.createDataFrame([("a", str(tmp_path / "a.jsonl"))], "video_id string, path string")
+    images = titles.event_images(events, videos, reader="tidemark.sources.adapters:JsonFrames", encoder="tidemark.sources.titles:StubEncoder")
+    assert sorted((r.event_id, r.n) for r in images.collect()) == [("0000", 0), ("0000", 1), ("0001", 0)]
+    content = titles.request_content(events, images).first().content
+    assert [b.kind for b in content] == ["text", "text", "image", "image", "text", "image"]
+    assert content[1].data.startswith("[0000] 0:00-0:03 (3s)") and content[4].data.endswith("(no text evidence)")
+    titles.write_patches(spark.createDataFrame([("p.bin", bytearray(b"12"))], "name string, data binary"), f"file://{tmp_path}/patches")
+    assert (tmp_path / "patches" / "p.bin").read_bytes() == b"12"
+
+
 def test_index_files(spark, tmp_path):
     event = {"event_id": "0000", "start_frame": 0, "end_frame": 3, "start_time": 0.0, "end_time": 4.0, "title": "ü", "odd": 1, "metadata": {"boundary_score": None, "n_samples": 4}}
     payload = {"video_id": "v", "video_path": "/v", "duration_sec": 4.0, "events": [event], "extra": {}}

@@ -5,14 +5,13 @@ from __future__ import annotations
 import glob
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, LessThan, LessThanOrEqual
 
-from ..functions.columns import cache_key, frame_rate, media_duration
+from ..functions.columns import cache_key
 from ..model import FRAMES
 from .adapters import instance
 
-__all__ = ["VideoFrames", "cache_key", "frame_rate", "media_duration", "register"]
-
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
@@ -26,8 +25,6 @@ class _Reader(DataSourceReader):
             if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)) and f.attribute == ("frame_idx",):
                 bound = f.value - 1 if isinstance(f, LessThan) else f.value
                 self.last = bound if self.last is None else min(self.last, bound)
-            elif isinstance(f, GreaterThanOrEqual):
-                pass
             yield f
 
     def partitions(self) -> list[InputPartition]:
@@ -60,3 +57,28 @@ class VideoFrames(DataSource):
 def register(spark) -> None:
     spark.dataSource.register(VideoFrames)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def frame_index(spark: SparkSession, path: str, *, reader: str = "tidemark.sources.adapters:JsonFrames", cache_dir: str | None = None) -> DataFrame:
+    """The frame index of all recordings that ``path`` matches, kept in ``cache_dir`` if one is given.
+
+    A kept index counts for a file's path, modification second and size; a changed file is decoded again.
+    """
+    register(spark)
+    load = lambda p: spark.read.format("video_frames").option("reader", reader).option("path", p).load()
+    if cache_dir is None:
+        return load(path)
+    files = spark.read.format("binaryFile").load(path).select("path", cache_key("path", "modificationTime", "length").alias("key")).collect()  # names only
+    parts = []
+    for f in files:
+        place = f"{cache_dir.rstrip('/')}/{f['key']}"
+        try:
+            known = spark.read.schema(FRAMES).parquet(place)
+        except Exception:  # not there yet
+            load(f["path"].removeprefix("file:")).write.mode("overwrite").parquet(place)
+            known = spark.read.schema(FRAMES).parquet(place)
+        parts.append(known)
+    out = parts[0] if parts else spark.createDataFrame([], FRAMES)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
