@@ -48,6 +48,17 @@ def test_finds_all_planted_and_nothing_else(spark):
     assert {(r.doc_id, r.item_id) for r in chunks.collect()} == pairs
 
 
+def test_short_items_amid_words_the_benchmark_lacks(spark):
+    """Items of 15 words between rare words: little of a window's weight is on the benchmark's words."""
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(400)]
+    items = [(i, words(r, vocab, 15) + ".") for i in range(40)]
+    docs = [(i, " ".join(f"only{i}x{k}" for k in range(30 + i % 12)) + " " + text + " " + " ".join(f"other{i}x{k}" for k in range(30)), "x") for i, text in items]
+    docs += [(1000 + i, words(r, vocab, 200), "x") for i in range(100)]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == {(i, i) for i in range(40)}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

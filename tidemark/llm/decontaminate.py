@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Word weights: a count sketch of fixed size over all words of the corpus gives every word's idf.
-2. Passages: every text is cut into windows of 24 words, 12 apart. A window can only have a
-   TF-IDF cosine of ``energy`` or more with any benchmark text if that share of its weight lies on
-   words that the benchmark has at all; the others are passed over, exactly and in the same scan.
+2. Passages: every text is cut into windows of 24 words, 12 apart. A window without any word of the
+   benchmark has a TF-IDF cosine of 0 with all of its texts and is passed over; all others stay, as
+   positions in the benchmark's vocabulary.
 3. A distributed randomised SVD of the TF-IDF matrix of those passages (and the benchmark's own)
    gives the latent space: tasks multiply their rows with a thin matrix, partial sums of a fixed
    size are added up, and only the thin matrix is orthogonalised on the driver.
@@ -31,7 +31,10 @@ IDF_BITS = 20
 HALF = 12
 WINDOW = 2 * HALF
 SEGMENT = 64
-RUN = 8
+RUN = 64
+#: Passages in a slice of work, and scores of windows with queries in one.
+STEP = 128
+SCORES = 1 << 22
 SLICE = 4 << 20
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -39,9 +42,8 @@ _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 @dataclass(frozen=True)
 class Limits:
-    """``energy``, ``latent`` and ``cosine`` admit candidates; ``copied`` and ``paraphrased`` are shares of a benchmark text's words, ``answered`` of its answer's."""
+    """``latent`` and ``cosine`` admit candidates; ``copied`` and ``paraphrased`` are shares of a benchmark text's words, ``answered`` of its answer's."""
 
-    energy: float = 0.77
     latent: float = 0.55
     cosine: float = 0.3
     copied: float = 0.75
@@ -123,12 +125,12 @@ def _bench(items: list[tuple[int, str]], idf: np.ndarray, min_words: int) -> _Be
     return _Bench(np.array(item), words, answers, vocabulary, weight, np.array(segment), windows)
 
 
-def _passages(bench, idf, energy: float):
-    """Stretches of documents whose windows have enough weight on the benchmark's words, with their surroundings."""
+def _passages(bench):
+    """Stretches of documents whose windows have a word of the benchmark, with their surroundings, as positions in the vocabulary (-1: another word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: _Bench = bench.value
-        weights, pad = idf.value, max(map(len, b.words))
+        pad = max(map(len, b.words))
         shift = np.uint64(64 - IDF_BITS)
         # One byte a bucket says whether any benchmark word is in it: most words need no search.
         near = np.zeros(1 << IDF_BITS, dtype=bool)
@@ -139,19 +141,17 @@ def _passages(bench, idf, energy: float):
                 if not len(words):
                     continue
                 bucket = (words >> shift).astype(np.int64)
-                square = weights[bucket].astype(np.float64) ** 2
-                ours = near[bucket]
-                hit = np.flatnonzero(ours)
-                ours[hit] = b.features(words[hit]) >= 0
-                total = np.concatenate(([0.0], np.cumsum(square)))
-                shared = np.concatenate(([0.0], np.cumsum(np.where(ours, square, 0.0))))
+                feature = np.full(len(words), -1, dtype="<i4")
+                hit = np.flatnonzero(near[bucket])
+                feature[hit] = b.features(words[hit])
+                shared = np.concatenate(([0], np.cumsum(feature >= 0)))
                 counts = np.diff(first)
                 number = np.where(counts > 0, np.maximum(1, -(-counts // HALF) - 1), 0)
                 owner = np.repeat(np.arange(len(counts)), number)
                 k = np.arange(len(owner)) - (np.cumsum(number) - number)[owner]
                 start = first[:-1][owner] + HALF * k
                 end = np.minimum(start + WINDOW, first[1:][owner])
-                kept = np.flatnonzero((shared[end] - shared[start] >= energy**2 * (total[end] - total[start])) & (shared[end] > shared[start]))
+                kept = np.flatnonzero(shared[end] > shared[start])
                 if not len(kept):
                     continue
                 fresh = np.ones(len(kept), dtype=bool)
@@ -165,25 +165,25 @@ def _passages(bench, idf, energy: float):
                 for x, y in zip(kept[heads], kept[tails], strict=True):
                     d = owner[x]
                     lo, hi = max(first[d], start[x] - pad), min(first[d + 1], end[y] + pad)
-                    out.append((ids[int(d)].as_py(), int(start[x] - lo), int(end[y] - lo), words[lo:hi].astype("<u8").tobytes()))
+                    out.append((ids[int(d)].as_py(), int(start[x] - lo), int(end[y] - lo), feature[lo:hi].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "lo", "hi", "words"])
 
     return run
 
 
 def _windows(batch: pa.RecordBatch, b: _Bench):
-    """Of passages: (row, first word, sparse rows as feature, window number) of their windows."""
-    rows, feats, owners, n = [], [], [], 0
-    for i, (lo, hi, blob) in enumerate(zip(batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), batch.column("words"), strict=True)):
-        f = b.features(np.frombuffer(blob.as_buffer(), dtype="<u8"))
-        for at in range(lo, max(lo + 1, hi - HALF), HALF):
-            mine = f[at : min(at + WINDOW, hi)]
-            mine = np.unique(mine[mine >= 0])
-            rows.append((i, at))
-            feats.append(mine)
-            owners.append(np.full(len(mine), n))
-            n += 1
-    return rows, np.concatenate(feats) if feats else np.zeros(0, np.int64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    """Of passages: row and first word of each of their windows, and the windows' sparse rows as feature, window number (ascending)."""
+    lo, hi = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
+    parts = [np.frombuffer(x.as_buffer(), dtype="<i4") for x in batch.column("words")]
+    words, first = np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
+    number = np.maximum(1, -(-(hi - lo) // HALF) - 1)
+    owner = np.repeat(np.arange(len(lo)), number)
+    at = lo[owner] + HALF * (np.arange(len(owner)) - (np.cumsum(number) - number)[owner])
+    length = np.minimum(at + WINDOW, hi[owner]) - at
+    place = np.repeat(np.arange(len(owner)), length)
+    f = words[np.arange(len(place)) + np.repeat(first[owner] + at - (np.cumsum(length) - length), length)]
+    keys = np.unique(place[f >= 0] * len(b.vocabulary) + f[f >= 0])
+    return owner, at, keys % len(b.vocabulary), keys // len(b.vocabulary)
 
 
 def _segment_sum(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
@@ -197,13 +197,13 @@ def _segment_sum(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
 
 def _product(feats, owners, n, weight, basis):
     """TF-IDF rows (owners ascend) times a thin matrix."""
-    return _segment_sum(weight[feats][:, None] * basis[feats], owners, n)
+    return _segment_sum((weight[:, None] * basis)[feats], owners, n)
 
 
 def _transposed(feats, owners, n, weight, y):
     """The transposed TF-IDF rows times a thin matrix."""
     order = np.argsort(feats, kind="stable")
-    return _segment_sum(weight[feats[order]][:, None] * y[owners[order]], feats[order], n)
+    return weight[:, None] * _segment_sum(y[owners[order]], feats[order], n)
 
 
 def _gram_product(passages: DataFrame, bench, basis: np.ndarray) -> np.ndarray:
@@ -214,9 +214,9 @@ def _gram_product(passages: DataFrame, bench, basis: np.ndarray) -> np.ndarray:
         b: _Bench = bench.value
         total = np.zeros(shared.value.shape, dtype=np.float64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                rows, feats, owners = _windows(batch.slice(at, 2048), b)
-                y = _product(feats, owners, len(rows), b.weight, shared.value)
+            for cut in range(0, batch.num_rows, STEP):
+                row_of, _, feats, owners = _windows(batch.slice(cut, STEP), b)
+                y = _product(feats, owners, len(row_of), b.weight, shared.value)
                 total += _transposed(feats, owners, len(total), b.weight, y)
         if total.any():
             yield row(0, total)
@@ -271,34 +271,40 @@ def _search(bench, space, limits: Limits):
         square = b.weight.astype(np.float64) ** 2
         size = np.sqrt(np.array([square[f].sum() for f in qf]))
         queries = _unit(_product(np.concatenate(qf), np.repeat(np.arange(len(qf)), [len(x) for x in qf]), len(qf), b.weight, v))
+        segments = [b.features(x) for x in b.words]
+        answers = [np.where((f := b.features(x)) < 0, -2, f) for x in b.answer]
         for whole in batches:
-            for cut in range(0, whole.num_rows, 512):
-                batch = whole.slice(cut, 512)
-                rows, feats, owners = _windows(batch, b)
-                latent = _unit(_product(feats, owners, len(rows), b.weight, v))
-                w, q = np.nonzero(latent @ queries.T >= limits.latent)
-                lengths = np.bincount(owners, minlength=len(rows))
+            for cut in range(0, whole.num_rows, STEP):
+                batch = whole.slice(cut, STEP)
+                row_of, place, feats, owners = _windows(batch, b)
+                latent = _unit(_product(feats, owners, len(row_of), b.weight, v))
+                lengths = np.bincount(owners, minlength=len(row_of))
                 begin = np.cumsum(lengths) - lengths
-                mass = np.sqrt(np.bincount(owners, weights=square[feats], minlength=len(rows)))
-                found: dict[tuple[int, int], tuple[float, int]] = {}
-                for at in range(0, len(w), 1 << 16):
-                    x, y = w[at : at + (1 << 16)], q[at : at + (1 << 16)]
-                    pair = np.repeat(np.arange(len(x)), lengths[x])
-                    f = feats[np.arange(len(pair)) - np.repeat(np.cumsum(lengths[x]) - lengths[x] - begin[x], lengths[x])]
-                    inner = np.bincount(pair, weights=square[f] * has[f, y[pair]], minlength=len(x))
-                    score = inner / np.maximum(mass[x] * size[y], 1e-12)
-                    for k in np.flatnonzero(score >= limits.cosine):
-                        key = (rows[x[k]][0], int(b.query_segment[y[k]]))
-                        found[key] = max(found.get(key, (-1.0, 0)), (float(score[k]), rows[x[k]][1]))
+                mass = np.sqrt(np.bincount(owners, weights=square[feats], minlength=len(row_of)))
+                found: dict[tuple[int, int], float] = {}
+                step = max(1, SCORES // len(qf))
+                for base in range(0, len(row_of), step):
+                    w, q = np.nonzero(latent[base : base + step] @ queries.T >= limits.latent)
+                    w += base
+                    for at in range(0, len(w), 1 << 16):
+                        x, y = w[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                        pair = np.repeat(np.arange(len(x)), lengths[x])
+                        f = feats[np.arange(len(pair)) - np.repeat(np.cumsum(lengths[x]) - lengths[x] - begin[x], lengths[x])]
+                        inner = np.bincount(pair, weights=square[f] * has[f, y[pair]], minlength=len(x))
+                        score = inner / np.maximum(mass[x] * size[y], 1e-12)
+                        for k in np.flatnonzero(score >= limits.cosine):
+                            key = (int(x[k]), int(b.query_segment[y[k]]))
+                            found[key] = max(found.get(key, -1.0), float(score[k]))
                 out = []
-                for (i, s), (score, at) in found.items():
-                    text = np.frombuffer(batch.column("words")[i].as_buffer(), dtype="<u8")
-                    mine = b.words[s]
+                for (n, s), score in found.items():
+                    i, at = int(row_of[n]), int(place[n])
+                    text = np.frombuffer(batch.column("words")[i].as_buffer(), dtype="<i4")
+                    mine = segments[s]
                     near = text[max(0, at - len(mine)) : at + WINDOW + len(mine)]
                     covered = common_subsequence(mine, near) / len(mine)
                     if covered < limits.paraphrased:
                         continue
-                    answer = common_subsequence(b.answer[s], near) / len(b.answer[s])
+                    answer = common_subsequence(answers[s], near) / len(answers[s])
                     if covered >= limits.copied or answer >= limits.answered:
                         out.append((batch.column("doc_id")[i].as_py(), int(b.item[s]), score, covered, answer))
                 if out:
@@ -325,14 +331,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, limits: Limits | None =
     result = None
     chunks = -(-items.count() // limits.chunk_items)
     weights = word_weights(docs) if chunks else None
-    idf = spark.sparkContext.broadcast(weights)
     for n in range(chunks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == n)
         made = _bench([(r["item_id"], r["text"]) for r in mine.collect()], weights, limits.min_words)
         if made is None:
             continue
         bench = spark.sparkContext.broadcast(made)
-        passages = materialise(docs.mapInArrow(_passages(bench, idf, limits.energy), "doc_id long, lo int, hi int, words binary"), "passages")
+        passages = materialise(docs.mapInArrow(_passages(bench), "doc_id long, lo int, hi int, words binary"), "passages")
         space = spark.sparkContext.broadcast(latent_space(passages, bench, limits.rank, limits.oversample))
         leaks = passages.mapInArrow(_search(bench, space, limits), "doc_id long, item_id long, cosine double, covered double, answer double")
         result = leaks if result is None else result.unionByName(leaks)
