@@ -59,6 +59,28 @@ def test_short_items_amid_words_the_benchmark_lacks(spark):
     assert {(x.doc_id, x.item_id) for x in found.collect()} == {(i, i) for i in range(40)}
 
 
+def test_recall_of_short_paraphrased_items(spark):
+    """Items of 15 words, 6 of them changed, in texts of another topic of the benchmark: 9 words of a window's 24 at most are theirs."""
+    r = random.Random(1)
+    names = [[f"t{t}w{i}" for i in range(60)] for t in range(50)]
+    items = [(4 * t + k, " ".join(names[t][15 * k : 15 * k + 15]) + ".") for t in range(50) for k in range(4)]
+    docs = []
+    for i, text in items:
+        other, w = names[(i // 4 + 7) % 50], text.split()
+        for at in r.sample(range(15), 6):
+            w[at] = r.choice(other)
+        docs.append((i, " ".join([*r.sample(other, 30 + i % 12), *w, *r.sample(other, 40)])))
+    docs += [(1000 + i, " ".join(r.sample(names[i % 50], 50))) for i in range(400)]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len({(x.doc_id, x.item_id) for x in found.collect()} & {(i, i) for i, _ in items}) >= 0.9 * len(items)
+
+
+def test_a_seldom_word_admits_without_the_latent_space(spark):
+    docs, items, pairs = fixture()
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"), limits=decontaminate.Limits(latent=2.0))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == pairs
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -7,8 +7,8 @@
 3. A distributed randomised SVD of the TF-IDF matrix of those passages (and the benchmark's own)
    gives the latent space: tasks multiply their rows with a thin matrix, partial sums of a fixed
    size are added up, and only the thin matrix is orthogonalised on the driver.
-4. Candidates: passages whose latent cosine with a benchmark passage is high enough, then their
-   cosine in the full space.
+4. Candidates: passages whose latent cosine with a benchmark passage is high enough, or that share a
+   word with it that few benchmark passages have, then their cosine in the full space.
 5. Checks: the longest common subsequence of words must cover most of the benchmark text; where it
    covers only a part (a paraphrase), the text's answer, its last sentence, must be there as well.
 """
@@ -33,8 +33,10 @@ WINDOW = 2 * HALF
 SEGMENT = 64
 RUN = 64
 #: Passages in a slice of work, and scores of windows with queries in one.
-STEP = 128
-SCORES = 1 << 22
+STEP = 32
+SCORES = 1 << 18
+#: A word of at most so many queries makes a window a candidate for each of them, whatever the latent cosine.
+SELDOM = 16
 SLICE = 4 << 20
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -44,7 +46,7 @@ _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 class Limits:
     """``latent`` and ``cosine`` admit candidates; ``copied`` and ``paraphrased`` are shares of a benchmark text's words, ``answered`` of its answer's."""
 
-    latent: float = 0.55
+    latent: float = 0.45
     cosine: float = 0.3
     copied: float = 0.75
     paraphrased: float = 0.55
@@ -268,6 +270,9 @@ def _search(bench, space, limits: Limits):
         has = np.zeros((len(b.vocabulary), len(qf)), dtype=bool)
         for q, f in enumerate(qf):
             has[f, q] = True
+        seldom, posting = np.nonzero(has & (has.sum(axis=1) <= SELDOM)[:, None])
+        posted = np.bincount(seldom, minlength=len(has))
+        head = np.cumsum(posted) - posted
         square = b.weight.astype(np.float64) ** 2
         size = np.sqrt(np.array([square[f].sum() for f in qf]))
         queries = _unit(_product(np.concatenate(qf), np.repeat(np.arange(len(qf)), [len(x) for x in qf]), len(qf), b.weight, v))
@@ -284,7 +289,14 @@ def _search(bench, space, limits: Limits):
                 found: dict[tuple[int, int], float] = {}
                 step = max(1, SCORES // len(qf))
                 for base in range(0, len(row_of), step):
-                    w, q = np.nonzero(latent[base : base + step] @ queries.T >= limits.latent)
+                    admitted = latent[base : base + step] @ queries.T >= limits.latent
+                    part = slice(*np.searchsorted(owners, (base, base + step)))
+                    mine, times = feats[part], posted[feats[part]]
+                    admitted[
+                        np.repeat(owners[part] - base, times),
+                        posting[np.arange(times.sum()) + np.repeat(head[mine] - (np.cumsum(times) - times), times)],
+                    ] = True
+                    w, q = np.nonzero(admitted)
                     w += base
                     for at in range(0, len(w), 1 << 16):
                         x, y = w[at : at + (1 << 16)], q[at : at + (1 << 16)]
