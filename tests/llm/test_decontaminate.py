@@ -75,6 +75,19 @@ def test_recall_of_short_paraphrased_items(spark):
     assert len({(x.doc_id, x.item_id) for x in found.collect()} & {(i, i) for i, _ in items}) >= 0.9 * len(items)
 
 
+def test_chunks_find_what_the_whole_benchmark_finds(spark):
+    """Items amid the words of other items, which other chunks hold."""
+    r = random.Random(9)
+    names = [[f"t{t}w{i}" for i in range(15)] for t in range(40)]
+    items = [(i, " ".join(w) + ".") for i, w in enumerate(names)]
+    rest = [[w for k, n in enumerate(names) if k != i for w in n] for i in range(40)]
+    docs = [(i, " ".join([*r.sample(rest[i], 30 + i % 12), *names[i][:5], *r.sample(rest[i], 4), *names[i][9:], *r.sample(rest[i], 40)])) for i, _ in items]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1000, 5):
+        found = decontaminate.find_leaks(docs, bench, limits=decontaminate.Limits(chunk_items=size))
+        assert {(x.doc_id, x.item_id) for x in found.collect()} == {(i, i) for i in range(40)}, size
+
+
 def test_a_seldom_word_admits_without_the_latent_space(spark):
     docs, items, pairs = fixture()
     found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"), limits=decontaminate.Limits(latent=2.0))
