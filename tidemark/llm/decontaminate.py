@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_SCHEMA, reduce_blocks, row
-from .common import materialise
-from .textkernel import fold_case, shingle_hashes, slices, string_buffer, word_hashes, word_spans
+from .common import bound_batches, materialise
+from .textkernel import distinct, fold_case, shingle_hashes, slices, string_buffer, word_hashes, word_spans
 
 IDF_BITS = 20
 BLOCK = 1 << 16
@@ -96,7 +96,7 @@ def word_weights(docs: DataFrame) -> np.ndarray:
                 number = -(-np.diff(first) // WINDOW)
                 at = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
                 place = np.repeat(np.cumsum(number) - number, np.diff(first)) + at // WINDOW
-                np.add.at(counts, np.unique(place << IDF_BITS | _bucket(words)) & ((1 << IDF_BITS) - 1), 1)
+                np.add.at(counts, distinct(place << IDF_BITS | _bucket(words)) & ((1 << IDF_BITS) - 1), 1)
                 passages += int(number.sum())
         if passages:
             yield row(-1, np.array([passages]))
@@ -463,6 +463,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, limits: Limits | None =
     """
     limits = limits or Limits()
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .textkernel import slices
 
 # Element groups of HTML.
@@ -328,6 +329,7 @@ def extract_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     table gives no rows. The whole html is used. One scan, no shuffle.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())  # as large as the training pages' vocabulary
+    bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .textkernel import fold_case, slices, string_buffer
 
 ORDERS = (1, 2, 3, 4)
 FEATURES = 1 << 15
-SLICE = 2 << 20
+SLICE = 1 << 19
 SHARPNESS = 40.0
 _MULTIPLIER = np.uint32(0x9E3779B1)
 _WORD = np.arange(256) >= 128
@@ -178,6 +179,7 @@ def _predict(model):
 
 
 def _learn(docs: DataFrame, training: DataFrame | None, ambiguous: float):
+    bound_batches(docs.sparkSession)
     model = fit(gram_counts(training.where("lang IS NOT NULL AND text IS NOT NULL")) if training is not None else {})
     model.ambiguous = ambiguous
     return docs.sparkSession.sparkContext.broadcast(model)  # 32,769 x bits weights: as large for any corpus

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bound_batches
 from .textkernel import slices, string_buffer, word_hashes, word_spans
 
 SPACE = "▁"
@@ -106,5 +107,6 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
                 upto = np.concatenate(([0], np.cumsum(each)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(upto[first[1:]] - upto[first[:-1]])], ["doc_id", "n_words", "n_tokens"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
