@@ -5,8 +5,9 @@ A shard holds documents in ascending doc_id order:
     magic | header (JSON, length before it) | frames | index | index position, magic
 
 The header names the dictionary by its SHA-256; the dictionary is a file of its own beside the
-shards. The index has, per document, its id, frame position, frame length and number of ids, so a
-short document is read with one seek. Ids are 16-bit where the vocabulary fits, else 32-bit.
+shards. The index has, per document, its id, whether that is null, frame position, frame length and
+number of ids, so a short document is read with one seek. Ids are 16-bit where the vocabulary fits,
+else 32-bit.
 
 Tasks write through pyarrow's file systems under a name of their own, and only the names that
 come back in the manifest count, so a repeated or speculative task leaves at most a stray file.
@@ -30,17 +31,22 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import bound_batches, materialise, new_path
 from .textkernel import slices
 
-MAGIC = b"TMKTOK01"
+MAGIC = b"TMKTOK02"
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 500_000
+#: Pre-tokens that a task remembers; the memory is emptied when full, which changes no id.
+CACHE = 150_000
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 8 << 20
+#: Of a long document, so many bytes of ids go into the training of the dictionary.
+SAMPLE_DOC_BYTES = 1 << 16
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 16 << 20
+READ_BYTES = 4 << 20
+INDEX = 5
 
 
 class _Encoder:
@@ -50,7 +56,6 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         spec = json.loads(self.tokenizer.to_str())
@@ -59,6 +64,9 @@ class _Encoder:
             spec["model"].get("type") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         )
+        # The library cuts added tokens out of a text first; texts that hold one go to it as a whole.
+        added = [t["content"] for t in spec.get("added_tokens") or () if t["content"]]
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         if self.fast:
             self.pattern = regex.compile(PATTERN)
             printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -75,7 +83,7 @@ class _Encoder:
             self.cache = Cache()
 
     def encode(self, text: str, end: bytes) -> bytes:
-        if not self.fast:
+        if not self.fast or self.added and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes() + end
         if len(self.cache) > CACHE:
             self.cache.clear()
@@ -121,10 +129,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, level: int
     """Encode every whole text of ``docs`` (doc_id long, text) and write shards in ascending doc_id order.
 
     Null or empty text: the end id only. Null doc_id: before all others. Repeated doc_id: a document
-    each, beside each other, shorter ones first. Empty table: no shards. The dictionary is
-    trained on the ids of up to ``SAMPLE_DOCS`` documents (those with the smallest id hash).
+    each, beside each other, by a checksum of their ids, then shorter ones first. Extra columns are ignored.
+    Empty table: no shards. A text of any length is one document and one frame. The dictionary is
+    trained on the first ``SAMPLE_DOC_BYTES`` of the ids of up to ``SAMPLE_DOCS`` documents (those with the smallest id hash).
+
+    Shards are ranges of about equal numbers of documents, bounded by quantiles of doc_id; an id that many rows
+    repeat, or null, is spread over as many shards as its share, by that checksum.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = F.xxhash64("doc_id")
     lowest = docs.select(hashed.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
@@ -137,13 +150,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, level: int
             yield pa.RecordBatch.from_arrays([pa.array([enc.encode(t or "", end) for t in batch.column("text").to_pylist()], pa.binary())], ["data"])
 
     sample: list[bytes] = []
-    total = 0
+    seen = total = held = 0
     if count:
         picked = docs.where(hashed <= F.lit(lowest["h"])).limit(2 * SAMPLE_DOCS).select("text").mapInArrow(serialize, "data binary")
-        for r in picked.where(F.length("data") <= SAMPLE_BYTES // 16).toLocalIterator():
-            if total < SAMPLE_BYTES:
+        for r in picked.select(F.length("data").alias("n"), F.substring("data", 1, SAMPLE_DOC_BYTES).alias("data")).toLocalIterator():
+            seen, total = seen + 1, total + r["n"]
+            if held < SAMPLE_BYTES:
                 sample.append(bytes(r["data"]))
-                total += len(r["data"])
+                held += len(sample[-1])
+    mean = total / max(1, seen)
     trained = train_dictionary(sample)
     digest = hashlib.sha256(trained).hexdigest()
     folder = new_path(spark, "tokens")
@@ -153,22 +168,31 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, level: int
         f.write(trained)
     shared = spark.sparkContext.broadcast(trained)  # DICTIONARY_BYTES at most
 
+    # Bounds come from the ids alone, and are a sorted array that tasks search: 8 bytes a shard.
+    nulls = docs.where("doc_id IS NULL").count() if count else 0
+    wanted = max(1, int(-(-count * mean * 0.8 // SHARD_BYTES)))
+    first = -(-nulls * wanted // max(1, count))
+    ranges = max(1, wanted - first)
+    cuts = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    cuts = spark.sparkContext.broadcast(np.array(cuts, dtype=np.float64))
+    shards = first + ranges
+
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         pack = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(shared.value))
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=1 << 20):
                 raw = [enc.encode(t or "", end) for t in part.column("text").to_pylist()]
                 sizes = np.array([len(x) for x in raw], dtype=np.int64) // enc.dtype.itemsize
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array([pack.compress(x) for x in raw], pa.binary())], ["doc_id", "n", "frame"])
-
-    # Shard bounds come from the ids alone: ranges of about equal numbers of documents.
-    mean = total / max(1, len(sample))
-    shards = max(1, int(-(-count * mean * 0.8 // SHARD_BYTES)))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10000).alias("c")).first()["c"] if shards > 1 and count else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.coalesce(F.aggregate(F.transform(F.array(*map(F.lit, cuts)), lambda c: (F.col("doc_id") > c).cast("int")), F.lit(0), lambda a, x: a + x), F.lit(0)) if cuts else F.lit(0)
+                tie = np.array([zlib.crc32(x) for x in raw], dtype=np.int64)
+                ids = part.column("doc_id")
+                value = ids.fill_null(0).to_numpy(False).astype(np.float64)
+                low, high = np.searchsorted(cuts.value, value, "left"), np.searchsorted(cuts.value, value, "right")
+                shard = np.where(ids.is_valid().to_numpy(False), first + low + (tie * (high - low + 1) >> 32), tie * first >> 32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard, pa.int32()), ids, pa.array(tie), pa.array(sizes), pa.array([pack.compress(x) for x in raw], pa.binary())], ["bucket", "doc_id", "tie", "n", "frame"]
+                )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(tokenizer).dtype
@@ -177,10 +201,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, level: int
         out, index, made, position, name = None, [], [], 0, ""
 
         def close():
-            columns = np.array(index, dtype="<i8").reshape(-1, 4)
+            columns = np.array(index, dtype="<i8").reshape(-1, INDEX)
             out.write(columns.tobytes() + struct.pack("<QQ", position, len(columns)) + MAGIC)
             out.close()
-            made.append((shard, f"{folder}/{name}", len(columns), int(columns[:, 3].sum())))
+            made.append((shard, f"{folder}/{name}", len(columns), int(columns[:, -1].sum())))
 
         for batch in batches:
             for b, doc, n, frame in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("frame")):
@@ -195,17 +219,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, level: int
                     position = len(MAGIC) + 4 + len(header)
                 data = frame.as_buffer()
                 out.write(data)
-                index.append((-(1 << 63) if doc is None else doc, position, data.size, n))
+                index.append((doc or 0, doc is None, position, data.size, n))
                 position += data.size
         if out is not None:
             close()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], ["shard", "path", "docs", "tokens"])
 
-    frames = docs.mapInArrow(compress, "doc_id long, n long, frame binary").withColumn("bucket", bucket)
-    ordered = frames.repartitionById(len(cuts) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "frame")
+    frames = docs.mapInArrow(compress, "bucket int, doc_id long, tie long, n long, frame binary")
+    ordered = frames.repartitionById(shards, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie", "n", "frame")
     manifest = materialise(ordered.mapInArrow(write, "shard long, path string, docs long, tokens long"), "manifest")
-    return TokenFiles(manifest, f"{folder}/dictionary-{digest[:16]}.zdict", len(cuts) + 1)
+    return TokenFiles(manifest, f"{folder}/dictionary-{digest[:16]}.zdict", shards)
 
 
 class TokenShard:
@@ -223,25 +247,44 @@ class TokenShard:
         self.header = json.loads(self.file.read_at(length, 12))
         if self.header["dictionary"] != hashlib.sha256(dictionary).hexdigest():
             raise ValueError(f"{path} was written with another dictionary")
-        self.index = np.frombuffer(self.file.read_at(32 * count, place), dtype="<i8").reshape(-1, 4)
+        self.index = np.frombuffer(self.file.read_at(8 * INDEX * count, place), dtype="<i8").reshape(-1, INDEX)
         self.unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
+        self.dtype = np.dtype(self.header["dtype"])
+
+    def _decode(self, frame: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(self.unpack.decompress(frame, max_output_size=max(1, n * self.dtype.itemsize)), dtype=self.dtype)
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of the k-th document of this shard."""
-        _, position, size, n = self.index[k].tolist()
-        dtype = np.dtype(self.header["dtype"])
-        return np.frombuffer(self.unpack.decompress(self.file.read_at(size, position), max_output_size=max(1, n * dtype.itemsize)), dtype=dtype)
+        *_, position, size, n = self.index[k].tolist()
+        return self._decode(self.file.read_at(size, position), n)
 
     def find(self, doc_id: int) -> np.ndarray:
-        """The ids of a document, by binary search of the index."""
-        k = int(np.searchsorted(self.index[:, 0], doc_id))
+        """The ids of a document, by binary search of the index; the first one of a repeated id."""
+        nulls = int(self.index[:, 1].sum())
+        k = nulls + int(np.searchsorted(self.index[nulls:, 0], doc_id))
         if k == len(self.index) or self.index[k, 0] != doc_id:
             raise KeyError(doc_id)
         return self.ids(k)
 
+    def runs(self, limit: int = READ_BYTES) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first document, ids of it and the next ones): all documents in order, read about ``limit`` bytes at once."""
+        ends = np.cumsum(self.index[:, 3])
+        at = 0
+        while at < len(self.index):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            base = int(self.index[at, 2])
+            data = memoryview(self.file.read_at(int(ends[to - 1] - done), base))
+            yield at, [self._decode(data[p - base : p - base + size], n) for p, size, n in self.index[at:to, 2:].tolist()]
+            at = to
+
 
 def read_tokens(files: TokenFiles, *, with_ids: bool = False) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as 32-bit), and the ids if asked for."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as 32-bit), and the ids if asked for.
+
+    Rows are as many as were written, repeats, null ids and empty texts among them; no shards give no rows.
+    """
     dictionary = files.dictionary
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,12 +294,11 @@ def read_tokens(files: TokenFiles, *, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
                 shard = TokenShard(path, data)
-                n = shard.index[:, 3]
+                n = shard.index[:, -1]
                 start = base + np.cumsum(n) - n
-                for lo in range(0, len(n), 512):
-                    hi = min(lo + 512, len(n))
-                    ids = [shard.ids(k).astype("<u4") for k in range(lo, hi)]
-                    names = pa.array([None if x == -(1 << 63) else x for x in shard.index[lo:hi, 0].tolist()], pa.int64())
+                for lo, ids in shard.runs():
+                    ids, hi = [x.astype("<u4") for x in ids], lo + len(ids)
+                    names = pa.array(shard.index[lo:hi, 0], mask=shard.index[lo:hi, 1] != 0)
                     out = [names, pa.array(start[lo:hi]), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
                     if with_ids:
                         out.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
@@ -265,4 +307,4 @@ def read_tokens(files: TokenFiles, *, with_ids: bool = False) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     based = files.manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("shard", "path", "base")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return based.repartition(files.shards, "shard").mapInArrow(read, schema)
+    return based.repartitionById(files.shards, F.col("shard").cast("int")).mapInArrow(read, schema)
