@@ -67,6 +67,22 @@ def test_apply_repeats_rows(spark):
     assert copies[1] == 3
 
 
+def test_apply_keeps_the_targets_and_every_column(spark):
+    """Ids that two sources share, columns named like the operator's own, and the way for many sources."""
+    r = random.Random(9)
+    rows = [(i % 150, "w " * r.choice([1, 5, 30]), r.choice(["x", "x", "x", "y", "z", None]), "a", "b", "c", 7) for i in range(300)]
+    rows += [(500, None, "x", "a", "b", "c", 7), (501, "long " * 80000, "z", "a", "b", "c", 7), (None, "q", "y", "a", "b", "c", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, _copies string, _key string, _t int")
+    want = sorted((str(x.doc_id), str(x.source), x.size) for x in mixing.mix_sources(df).collect() for _ in range(x.copies))
+    for few in (mixing.FEW, 0):
+        mixed = mixing.apply_mix(df, few=few)
+        assert mixed.columns == df.columns
+        got = mixed.collect()
+        assert sorted((str(x.doc_id), str(x.source), len((x.text or "").split())) for x in got) == want
+        assert {tuple(x)[3:] for x in got} == {("a", "b", "c", 7)}
+        assert sorted((str(x.doc_id), x.taken) for x in mixing.mix_sources(df, few=few).collect()) == sorted((str(x.doc_id), x.taken) for x in mixing.mix_sources(df).collect())
+
+
 def test_empty(spark):
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.apply_mix(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -6,9 +6,9 @@ bucket's rows are summed again by the next 12 hash bits, down to a single hash v
 is taken if its hash is not above its source's threshold, so nothing is ever sorted by document,
 and budgets nest: a larger budget keeps all that a smaller one took.
 
-Scale: one shuffle of (source, bucket) partial sums and one equi-join of the sized rows with the
-histogram on (source, bucket), a key that splits a hot source into 4096 parts. Both windows run
-over histogram rows: one per source, or at most 4096 per source.
+Scale: one shuffle of (source, bucket) partial sums. A source's plan is one row (times and threshold), which goes
+to the documents by broadcast while there are at most ``FEW`` sources, else by a join whose keys are salted, so a
+hot source is spread either way. Windows run over histogram rows: one per source, or at most 4096 per source.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from .common import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVEL_BITS = 12
+#: Up to so many plan rows (some 8 MB) are broadcast.
+FEW = 50_000
+SALTS = 64
 HASH_BITS = 60
 
 
@@ -58,29 +61,20 @@ def _targets(totals: DataFrame, weights: tuple[int, ...], max_repeats: float, sh
     )
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, share: float = 1.0) -> DataFrame:
-    """Decide how often each document enters a mix of its sources.
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
-    ``docs`` needs doc_id, text and source; other columns are ignored. Returns one row per input
-    row: doc_id, source, size, source_size, target, copies, taken. Size is the number of words.
-    Sources ordered by name (code points, null last) get ``weights`` in turn and share ``share``
-    of all words; a target stops at ``max_repeats`` times the source's size and the excess is
-    reshared by weight. A source is taken ``floor(target / size)`` times as a whole, and the rest
-    by hash threshold, to within half of one document.
 
-    Null text: size 0. Null source: a source of its own. Rows with equal (or null) doc_id share a
-    hash and are taken together. Empty input: no rows. Only built-in functions are used.
-    """
-    sized = materialise(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("_key"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            _hash60(F.col("doc_id")).alias("_h"),
-        ),
-        "mix-sized",
-    )
+def _to_rows(rows: DataFrame, plan: DataFrame, key: Column, salt: Column, few: int) -> DataFrame:
+    """Each row with the plan row of its source."""
+    if plan.count() <= few:
+        return rows.join(F.broadcast(plan), key == plan["_key"])
+    salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, (key == salted["_key"]) & (F.pmod(salt, F.lit(SALTS)).cast("int") == salted["_salt"]))
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], max_repeats: int, share: float, few: int) -> DataFrame:
+    """(_key, source_size, target, _whole, _t): a source is taken ``_whole`` times, and once more where a hash is at most ``_t``."""
     histogram = materialise(
         sized.groupBy("_key", "source", _bucket(0).alias("_b0")).agg(F.sum("size").alias("_sum")), "mix-histogram"
     )
@@ -91,16 +85,17 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_re
         ).withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size"))),
         "mix-plan",
     )
+    small = plan.count() <= few
     # Level 0 runs on the histogram itself, every further level on the rows of one bucket of each source.
     order = Window.partitionBy("_key").orderBy("_b")
     edge = plan.select("_key", "_rest", F.lit(0).cast("long").alias("_base"), F.lit(0).cast("long").alias("_prefix"))
-    cells = histogram.select("_key", F.col("_b0").alias("_b"), "_sum")
+    cells = histogram.groupBy("_key", F.col("_b0").alias("_b")).agg(F.sum("_sum").alias("_sum"))
     rows = sized.select("_key", "size", "_h")
     for level in range(HASH_BITS // LEVEL_BITS):
         if level:
-            rows = rows.join(edge.select("_key", F.col("_b").alias("_in")), (rows["_key"] == edge["_key"]) & (_bucket(level - 1) == F.col("_in"))).select(
-                rows["_key"], "size", "_h"
-            )
+            inside = edge.select(F.col("_key").alias("_ekey"), F.col("_b").alias("_in"))
+            inside = F.broadcast(inside) if small else inside
+            rows = rows.join(inside, (F.col("_key") == F.col("_ekey")) & (_bucket(level - 1) == F.col("_in"))).select("_key", "size", "_h")
             cells = rows.groupBy("_key", _bucket(level).alias("_b")).agg(F.sum("size").alias("_sum"))
             edge = edge.drop("_b", "_sum")
         summed = cells.withColumn("_upto", F.sum("_sum").over(order))
@@ -111,30 +106,61 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_re
             ),
             f"mix-edge{level}",
         )
-    threshold = edge.select("_key", F.when(F.col("_base") + F.col("_sum") - F.col("_rest") < F.col("_rest") - F.col("_base"), F.col("_b")).otherwise(F.col("_b") - 1).alias("_t"))
-    cell_plan = (
-        histogram.select("_key", "_b0")
-        .join(plan.select("_key", "source_size", "target", "_whole"), "_key")
-        .join(threshold, "_key", "left")
-    )
-    mixed = sized.withColumn("_b0", _bucket(0)).join(cell_plan, ["_key", "_b0"])
-    copies = F.col("_whole") + F.when((F.col("_t").isNull() | (F.col("_h") <= F.col("_t"))) & (F.col("target") > F.col("_whole") * F.col("source_size")), 1).otherwise(0)
-    return mixed.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+    nearer = F.col("_base") + F.col("_sum") - F.col("_rest") < F.col("_rest") - F.col("_base")
+    threshold = edge.select("_key", F.when(nearer, F.col("_b")).otherwise(F.col("_b") - 1).alias("_t"))
+    more = F.col("target") > F.col("_whole") * F.col("source_size")
+    limit = F.when(more, F.coalesce("_t", F.lit(1 << HASH_BITS))).otherwise(F.lit(-1))
+    return materialise(plan.join(threshold, "_key", "left").select("_key", "source_size", "target", "_whole", limit.cast("long").alias("_t")), "mix-thresholds")
+
+
+def _copies(plan: DataFrame, hashed: Column) -> Column:
+    return plan["_whole"] + F.when(hashed <= plan["_t"], 1).otherwise(0)
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return materialise(
+        docs.select(
+            "doc_id",
+            "source",
+            _key(F.col("source")).alias("_key"),
+            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            _hash60(F.col("doc_id")).alias("_h"),
+        ),
+        "mix-sized",
     )
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed table: each row of ``docs`` as often as ``mix_sources`` says, columns unchanged.
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, share: float = 1.0, few: int = FEW) -> DataFrame:
+    """Decide how often each document enters a mix of its sources.
 
-    Rows with equal doc_id count as repeats of one document, of the same source, and get the same number of copies.
+    ``docs`` needs doc_id, text and source; other columns are ignored, whatever their names. Returns one row per input
+    row: doc_id, source, size, source_size, target, copies, taken. Size is the number of words of the whole text.
+    Sources ordered by name (code points, null last) get ``weights`` in turn and share ``share``
+    of all words; a target stops at ``max_repeats`` times the source's size and the excess is
+    reshared by weight. A source is taken ``floor(target / size)`` times as a whole, and the rest
+    by hash threshold, to within half of one document.
+
+    Null or empty text: size 0. Null source: a source of its own. Rows with equal (or null) doc_id share a
+    hash, and those of one source are taken together; repeated rows are counted each. Empty input: no rows.
+    Only built-in functions are used.
     """
-    copies = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    columns = docs.columns
-    kept = docs.withColumnRenamed("doc_id", "_id").join(copies, F.col("_id").eqNullSafe(F.col("doc_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        *[F.col("_id").alias("doc_id") if c == "doc_id" else F.col(c) for c in columns]
-    )
+    sized = _sized(docs)
+    plan = _plan(sized, weights, max_repeats, share, few)
+    mixed = _to_rows(sized, plan, sized["_key"], sized["_h"], few).withColumn("copies", _copies(plan, sized["_h"]))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, share: float = 1.0, few: int = FEW) -> DataFrame:
+    """The mixed table: each row of ``docs`` as often as ``mix_sources`` says, columns as they are, whatever their names.
+
+    Nulls, empty texts, repeats and empty tables as in ``mix_sources``: a doc_id that two sources have is judged in each.
+    Rows are compared with their source's threshold where they are read; no row is shuffled while sources are few.
+    """
+    plan = _plan(_sized(docs), weights, max_repeats, share, few)
+    hashed = _hash60(docs["doc_id"])
+    joined = _to_rows(docs, plan, _key(docs["source"]), hashed, few)
+    row = F.struct(*[docs[c] for c in docs.columns])
+    return joined.select(F.explode(F.array_repeat(row, _copies(plan, hashed).cast("int"))).alias("_row")).select("_row.*")
 
 
 ORACLE = r"""
