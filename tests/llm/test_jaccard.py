@@ -84,6 +84,20 @@ def test_windows_reach_all_pairs(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute(rows, 4, 85).items()}
 
 
+def test_frequent_tokens_requests_by_shuffle_and_repeated_rows(spark, monkeypatch):
+    """Lists of frequent tokens dealt out by node, requests beyond SMALL_ROWS, and rows that repeat an id some dozens of times."""
+    monkeypatch.setattr(jaccard, "HOT_LEVEL", 6)
+    monkeypatch.setattr(jaccard, "SMALL_ROWS", 0)
+    rows = corpus(7, copies=70)
+    want = brute(rows, 4, 85)
+    df = spark.createDataFrame([*rows, *[x for x in rows if x[0] % 9 == 0] * 30], "doc_id long, text string")
+    df = df.withColumn("gone", F.lit("g")).withColumn("component_id", F.lit(-1)).withColumn("node", F.lit(None).cast("string")).repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == {(i, n, c) for i, (n, c) in want.items()}
+    kept = jaccard.keep_one_of_each(df)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jaccard.jaccard_components(empty).collect() == []

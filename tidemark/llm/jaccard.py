@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_SCHEMA, reduce_blocks, row
-from .common import materialise
+from .common import bound_batches, materialise
 from .components import connected_components
 from .textkernel import mix64, shingle_hashes, slices, texts_words
 
@@ -34,8 +34,10 @@ BLOCK_BITS = 16
 BITMAP_BITS = 23
 LIST_BLOCK = 64
 PARITY_BITS = 512
+#: Sketch level of tokens with 1,024 occurrences or more.
+HOT_LEVEL = 143
 SMALL_ROWS = 200_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 WINDOWS_FROM = 4
 WINDOW_GROWTH = 16
 
@@ -114,6 +116,14 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int, levels) -> DataF
     return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix binary, parity binary")
 
 
+def _dealt(lists: DataFrame) -> DataFrame:
+    """Postings by token. A frequent token, as its level says, is dealt out by node as well: some LIST_BLOCK entries each, at any size."""
+    level = F.shiftrightunsigned("token", 56)
+    parts = F.pow(F.lit(2.0), F.floor((level - HOT_LEVEL) / 5)) * 16
+    salt = F.when(level >= HOT_LEVEL, F.pmod(F.xxhash64("node"), parts.cast("long"))).otherwise(0)
+    return lists.withColumn("salt", salt).repartition("token", "salt").sortWithinPartitions("token", "salt").drop("salt")
+
+
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "prefix", 8 << 20):
@@ -150,8 +160,8 @@ def _differ_too_much(a, b, na, nb, num, den):
 def _prune_lists(num: int, den: int, guess: bool = False, stretch: int = 4096):
     """Of postings sorted by token, those that have a partner in their list which the bounds admit.
 
-    Lists of over LIST_BLOCK entries pass as they are, and only ``stretch`` entries of a list are held
-    at once. With ``guess`` the bounds include the parity bitmaps, and each entry gets the partner
+    Lists of over LIST_BLOCK entries and those of frequent tokens, which come in parts, pass as they are, and
+    only ``stretch`` entries of a list are held at once. With ``guess`` the bounds include the parity bitmaps, and each entry gets the partner
     whose bitmap differs least: a guess at what will link; what it misses is left to the windows.
     """
 
@@ -161,7 +171,7 @@ def _prune_lists(num: int, den: int, guess: bool = False, stretch: int = 4096):
         sizes = np.diff(np.append(first, len(token)))
         size = np.repeat(sizes, sizes)
         left = size - (np.arange(len(token)) - np.repeat(first, sizes))
-        keep = size > LIST_BLOCK
+        keep = (size > LIST_BLOCK) | (token.view(np.uint64) >> np.uint64(56) >= HOT_LEVEL)
         if long is not None:
             keep |= token == long
         rows = np.flatnonzero(left > 1) if guess else np.flatnonzero((left > 1) & ~keep)
@@ -335,25 +345,26 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 4, percent: int = 85)
     shingle is one shingle as a whole.
 
     Null or blank text: no shingles, no links, its own component. Null doc_id: counted, linked with
-    nothing, component null. Repeated doc_id: each row is compared on its own. Equal texts: one class.
-    Empty table: no rows. Sets are compared by 56-bit shingle hashes, set equality by 128 bits.
+    nothing, component null. Repeated doc_id: each row is compared on its own. Equal texts: one class. Other columns are ignored.
+    Texts of any length are one set. Empty table: no rows. Sets are compared by 56-bit shingle hashes, set equality by 128 bits.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bound_batches(spark)
     num, den = percent, 100
     levels = spark.sparkContext.broadcast(shingle_levels(docs, shingle))
-    signatures = materialise(_signatures(docs, shingle, num, den, levels), "signatures")
+    signatures = materialise(_signatures(docs, shingle, num, den, levels).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     classes = materialise(
-        signatures.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes"
+        signatures.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.min_by("rid", "doc_id").alias("rid"), F.count("*").alias("copies")), "classes"
     )
-    chosen = classes.select("node", F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"))
-    prefixes = signatures.join(chosen, (F.col("doc_id") == F.col("node")) & (F.col("n") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")))
-    postings = prefixes.select("node", "n", "prefix").mapInArrow(_explode, "token long, node long, n int, pos int")
+    # One row of each class, however often a row of the table is repeated.
+    chosen = signatures.drop("doc_id").join(classes.select("node", F.col("rid").alias("crid")), F.col("rid") == F.col("crid"))
     plain = "token long, node long, n int, pos int"
-    lists = materialise(postings.repartition("token").sortWithinPartitions("token").mapInArrow(_prune_lists(num, den), plain), "lists")
-    parities = signatures.join(chosen, (F.col("doc_id") == F.col("node")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))).select(F.col("node").alias("pnode"), "parity")
-    lists = lists.join(parities, F.col("node") == F.col("pnode")).select("token", "node", "n", "pos", "parity")
-    guessed = lists.repartition("token").sortWithinPartitions("token").mapInArrow(_prune_lists(num, den, guess=True), f"{plain}, partner long, apart long")
+    postings = chosen.select("node", "n", "prefix").mapInArrow(_explode, plain)
+    lists = materialise(_dealt(postings).mapInArrow(_prune_lists(num, den), plain), "lists")
+    parities = chosen.select(F.col("node").alias("pnode"), F.col("n").alias("pn"), "parity")
+    lists = lists.join(parities, (F.col("node") == F.col("pnode")) & (F.col("n") == F.col("pn"))).select("token", "node", "n", "pos", "parity")
+    guessed = _dealt(lists).mapInArrow(_prune_lists(num, den, guess=True), f"{plain}, partner long, apart long")
     lists = materialise(guessed, "pruned-lists")
     labels = None
     if not lists.isEmpty():
@@ -373,13 +384,15 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 4, percent: int = 85)
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component: one document of each group; rows with a null doc_id stay.
+    """The rows of ``docs`` whose doc_id names its component: one document of each group, all columns as they are, whatever their names.
 
-    Rows that repeat a doc_id stay or go together.
+    Null or empty texts are linked with nothing and stay, as do rows with a null doc_id. Of equal texts the smallest
+    doc_id stays. Rows that repeat a doc_id stay or go together. Empty table: no rows.
     """
     found = jaccard_components(docs, **options)
-    dropped = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_gone")).agg(F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("_far")).where("_far = 1").select("_gone")
-    return docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
+    apart = F.min((F.col("doc_id") != F.col("component_id")).cast("int"))
+    dropped = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("gone")).agg(apart.alias("far")).where("far = 1").select("gone")
+    return docs.join(dropped, docs["doc_id"] == dropped["gone"], "left_anti")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -420,14 +433,16 @@ def _link_lists(docs: DataFrame, lists: DataFrame, parities: DataFrame, shingle:
         current = materialise(current.join(open_, F.col("token") == F.col("ot")).select("token", "node", "n", "pos", "comp"), "open-lists")
         if current.isEmpty():
             return labels
-        both = checked.select(F.col("a").alias("v"), F.struct(F.col("b").alias("p"), "both", F.col("nb").alias("pn")).alias("s")).unionByName(
-            checked.select(F.col("b").alias("v"), F.struct(F.col("a").alias("p"), "both", F.col("na").alias("pn")).alias("s"))
+        # A set's pivot is a highly similar set: the first of those it links with, which its neighbours are likely to share, else the nearest.
+        far = F.when(F.col("linked"), -1.0).otherwise(-F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far")
+        both = checked.select(F.col("a").alias("v"), F.struct(far, F.col("b").alias("p"), "both", F.col("nb").alias("pn"), F.col("na").alias("vn")).alias("s")).unionByName(
+            checked.select(F.col("b").alias("v"), F.struct(far, F.col("a").alias("p"), "both", F.col("na").alias("pn"), F.col("nb").alias("vn")).alias("s"))
         )
         pivots = both.groupBy("v").agg(F.min("s").alias("s"))
         needed = current.select(F.col("node").alias("need")).distinct()
         facts = parities.join(needed, F.col("pnode") == F.col("need"), "left_semi").join(pivots, F.col("pnode") == F.col("v"), "left")
-        own = F.col("s").isNull() | (F.col("node") < F.col("s.p"))
-        left = current.join(facts, F.col("node") == F.col("pnode")).select(
+        own = F.col("s").isNull() | (F.col("node") < F.col("s.p")) | (F.col("s.vn") != F.col("n"))
+        left = current.join(facts, (F.col("node") == F.col("pnode")) & (F.col("n") == F.col("pn"))).select(
             "token", "node", "n", "pos", "parity", "comp",
             F.when(own, F.col("node")).otherwise(F.col("s.p")).alias("pivot"),
             F.when(own, F.col("n")).otherwise(F.col("s.both")).alias("pov"),
