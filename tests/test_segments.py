@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.model import SegmentOptions, SelectOptions
 from tidemark.operators import evidence, retrieve, segments
@@ -54,16 +55,26 @@ def test_both_merges_agree(spark):
     g = np.random.default_rng(3)
     parts = [("v", p, p * 10, g.standard_normal(4).tolist(), 3) for p in range(9)] + [("w", 0, 0, [1.0, 0.0, 0.0, 0.0], 3)]
     df = spark.createDataFrame(parts, "video_id string, part int, first_pos int, sums array<double>, target int")
-    folded = sorted(map(tuple, segments.merge_parts(df).collect()))
-    looped = sorted(map(tuple, segments.merge_channels(df.withColumnRenamed("sums", "dense"), SegmentOptions()).collect()))
-    assert folded == looped and len(folded) == 2
+    def plain(vectors, target):
+        left = [(10 * p, np.array(v)) for p, v in enumerate(vectors)]
+        while len(left) > target:
+            sims = [float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) for (_, a), (_, b) in zip(left, left[1:])]
+            k = sims.index(max(sims))
+            left[k : k + 2] = [(left[k][0], left[k][1] + left[k + 1][1])]
+        return [f for f, _ in left[1:]]
+
+    merged = sorted(map(tuple, segments.merge_parts(df).collect()))
+    assert merged == [("v", p) for p in plain([v for k, _, _, v, _ in parts if k == "v"], 3)] and len(merged) == 2
+    assert merged == sorted(map(tuple, segments.merge_channels(df.withColumnRenamed("sums", "dense"), SegmentOptions()).collect()))
 
 
 def test_evidence_and_titles(spark):
     ev = spark.createDataFrame([("v", "0000", 0.0, 61.5, "alpha alpha beta the 123", ""), ("v", "0001", 61.5, 70.0, "beta gamma", ""), ("v", "0002", 70.0, 71.0, "", "")], "video_id string, event_id string, start_time double, end_time double, ocr_text string, transcript_text string")
     titles = evidence.distinctive_titles(ev)
     assert {r.event_id: r.title for r in titles.collect()} == {"0000": "alpha beta", "0001": "gamma beta", "0002": "unclear"}
-    named = evidence.join_titles(ev, titles.where("event_id <> '0001'"))
+    named = evidence.join_titles(ev, titles.where("event_id <> '0001'").withColumn("n", F.lit(0)), order="n")
+    twice = spark.createDataFrame([("v", "0000", " zeta", 0), ("v", "0000", "alpha ", 1)], "video_id string, event_id string, title string, n int")
+    assert {r.event_id: r.title for r in evidence.join_titles(ev, twice, order="n").collect()} == {"0000": "alpha", "0001": "", "0002": ""}
     assert evidence.chapter_list(named).first().chapters == "0:00 alpha beta\n1:01 (unlabeled)\n1:10 unclear"
     prompts = [r[0] for r in ev.orderBy("event_id").select(evidence.evidence_prompt()).collect()]
     assert prompts[0] == "[0000] 0:00-1:01 (62s)\non-screen text:\nalpha alpha beta the 123" and prompts[2] == "[0002] 1:10-1:11 (1s)\n(no text evidence)"

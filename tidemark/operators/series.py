@@ -107,14 +107,12 @@ def local_minima(df: DataFrame, *, keys: Sequence[str], order: str, value: str,
     start, follows a higher value, or has a second position after a rise, and ends at the
     series' end or before a higher value.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
     runs = (
         df.select(*keys, F.col(order).alias("_o"), F.col(value).alias("_v"))
         .withColumn("_v0", F.lag("_v").over(Window.partitionBy(*keys).orderBy("_o")))
         .withColumn("_run", F.sum(F.when(F.col("_v0").isNull() | (F.col("_v") != F.col("_v0")), 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy("_o")))
         .groupBy(*keys, "_run").agg(F.min("_o").alias("_a"), F.max("_o").alias("_b"), F.first("_v").alias("_v"))
     )
-    del w
     r = Window.partitionBy(*keys).orderBy("_run")
     placed = runs.select("*", F.lag("_v").over(r).alias("_prev"), F.lead("_v").over(r).alias("_next"), F.max("_b").over(Window.partitionBy(*keys)).alias("_end"))
     low = F.when((F.col("_a") == 0) | (F.col("_prev") > F.col("_v")), F.greatest(F.lit(1), F.col("_a"))).otherwise(F.col("_a") + 1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
+from ..shared import materialise
 
 
 def term_counts(df: DataFrame, *, keys: Sequence[str], order: str, text: str) -> DataFrame:
@@ -21,9 +22,19 @@ def document_frequency(counts: DataFrame, *, keys: Sequence[str]) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, *, keys: Sequence[str], max_vocab: int = 20000, min_df: int = 1) -> DataFrame:
-    """The most frequent terms of each series, ties by term, then those of ``min_df`` or more: (keys, term, df)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("df"), "term")
-    return document_frequency(counts, keys=keys).withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= max_vocab) & (F.col("df") >= min_df)).drop("_r")
+    """The most frequent terms of each series, ties by term, then those of ``min_df`` or more: (keys, term, df).
+
+    How many terms have each frequency says at which one the limit falls; only terms of that frequency are put in order.
+    """
+    frequency = document_frequency(counts, keys=keys)
+    steps = frequency.groupBy(*keys, "df").agg(F.count("*").alias("_terms"))
+    upto = F.sum("_terms").over(Window.partitionBy(*keys).orderBy(F.desc("df")))
+    edges = steps.withColumn("_room", max_vocab - (upto - F.col("_terms"))).where((F.col("_room") > 0) & (F.col("df") >= min_df))
+    placed = frequency.join(edges.select(*keys, "df", "_terms", "_room"), [*keys, "df"])
+    whole = placed.where(F.col("_terms") <= F.col("_room"))
+    cut = placed.where(F.col("_terms") > F.col("_room"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("term"))
+    return whole.select(*keys, "term", "df").unionByName(cut.withColumn("_r", first).where(F.col("_r") <= F.col("_room")).select(*keys, "term", "df"))
 
 
 def inverse_frequency(df: str = "df", n: str = "n"):
@@ -33,9 +44,10 @@ def inverse_frequency(df: str = "df", n: str = "n"):
 def tfidf(df: DataFrame, *, keys: Sequence[str], order: str, text: str, max_vocab: int = 20000, min_df: int = 1) -> DataFrame:
     """(keys, order, term, w): sublinear term frequency times smoothed inverse frequency, unit length per position.
 
-    Positions without a term have no rows. All positions of a series count for its size.
+    Positions without a term have no rows. All positions of a series count for its size. Texts are split once: the counts
+    are written to the shared folder, as the vocabulary and the weights both read them.
     """
-    counts = term_counts(df, keys=keys, order=order, text=text)
+    counts = materialise(term_counts(df, keys=keys, order=order, text=text), "term-counts")
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     words = vocabulary(counts, keys=keys, max_vocab=max_vocab, min_df=min_df)
     weighed = counts.join(words, [*keys, "term"]).join(sizes, list(keys)).withColumn("w", (1.0 + F.log(F.col("tf").cast("double"))) * inverse_frequency())

@@ -35,7 +35,7 @@ def chapter_samples(samples: DataFrame, durations: DataFrame | None = None, opti
     began = time.perf_counter()
     prompts = events.select("video_id", "event_id", evidence.evidence_prompt(o.label).alias("prompt"))
     named, used = adapters.titles(events, prompts, backend=backend, model=model, enabled=o.label.enabled)
-    events = materialise(evidence.join_titles(events, named).withColumn("summary", F.lit("")).withColumn("duration_sec", event_duration("start_time", "end_time")), "titled")
+    events = materialise(evidence.join_titles(events, named, order="number").withColumn("summary", F.lit("")).withColumn("duration_sec", event_duration("start_time", "end_time")), "titled")
     times["label"] = time.perf_counter() - began
     curves, _ = segments.channel_curves(samples, o.segment)
     channels = curves.select("video_id", *[f"has_{c}" for c in segments.CHANNELS]).distinct()
@@ -71,5 +71,5 @@ def relabel(spark: SparkSession, payload: dict, options: Options | None = None,
     events = spark.createDataFrame(rows, "video_id string, event_id string, start_time double, end_time double, ocr_text string, transcript_text string, n int")
     prompts = events.select("video_id", "event_id", evidence.evidence_prompt(o.label).alias("prompt"))
     named, _ = adapters.titles(events, prompts, backend=backend, model=model, enabled=o.label.enabled)
-    found = {r["event_id"]: r["title"] for r in evidence.join_titles(events, named).select("event_id", "title").collect()}
+    found = {r["event_id"]: r["title"] for r in evidence.join_titles(events, named, order="number").select("event_id", "title").collect()}
     return {**{k: payload[k] for k in ("video_id", "video_path", "duration_sec")}, "events": [{**e, "title": found.get(e["event_id"], "")} for e in payload["events"]]}

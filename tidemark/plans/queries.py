@@ -373,7 +373,7 @@ def segment_channels(spark, d):
     """Two fused channels, merged over part sums of vectors and term weights, with evidence and titles."""
     events, numbered = segments.segment(_two_channels(spark, d), options=SegmentOptions(target=4))
     full = evidence.attach_evidence(events, numbered)
-    titled = evidence.join_titles(full, evidence.distinctive_titles(full))
+    titled = evidence.join_titles(full, evidence.distinctive_titles(full), order="title")
     return titled.select("video_id", "event_id", "start_frame", "end_frame", "start_time", "end_time", "title", "ocr_text", "transcript_text")
 
 

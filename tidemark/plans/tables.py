@@ -25,7 +25,9 @@ def dense_samples(spark: SparkSession, sf_dir: str, seconds: float = 30.0) -> Da
 def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as screen texts of a recording per source."""
     d = read(spark, sf_dir, "documents").select(F.col("source").alias("video_id"), "doc_id", "text")
-    return d.select("video_id", _position("video_id", "doc_id").alias("pos"), F.col("doc_id").cast("int").alias("frame_idx"), "text")
+    # Ids are numbered without their texts, so no text is sorted within its source.
+    numbers = d.select("doc_id", _position("video_id", "doc_id").alias("pos")).withColumnRenamed("doc_id", "number_of")
+    return d.join(numbers, F.col("doc_id") == F.col("number_of")).select("video_id", "pos", F.col("doc_id").cast("int").alias("frame_idx"), "text")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import importlib
 import json
+import logging
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 from typing import Any, Protocol
@@ -21,6 +22,8 @@ from ..functions.columns import confident_lines, reads_text, unit
 from ..model import SamplingOptions, SpeechOptions, TextOptions
 from ..operators.evidence import frame_lines
 
+log = logging.getLogger(__name__)
+
 
 class FrameReader(Protocol):
     """Decodes a recording: stream facts, and (pts, dts, time base, image) per frame in decode order."""
@@ -175,32 +178,33 @@ def samples_from_signals(signals: DataFrame, text: TextOptions | None = None) ->
 
 
 def titles(events: DataFrame, prompts: DataFrame, *, backend: str = "auto", model: TitleBackend | None = None, enabled: bool = True) -> tuple[DataFrame, str]:
-    """(titles, backend used) of events with their evidence prompts.
+    """(titles with their number of answer, backend used) of events with their evidence prompts.
 
     ``auto`` takes the model if one is given, any other name than ``model`` the distinctive terms. A
-    model that fails leaves it to them. One call covers all events of a recording, on the driver;
+    model that fails, which is logged, leaves it to them. One call covers all events of a recording, on the driver;
     the prompts of one recording at a time are held there.
     """
     from ..operators.evidence import distinctive_titles
 
     spark = events.sparkSession
-    none = spark.createDataFrame([], "video_id string, event_id string, title string")
+    schema = "video_id string, event_id string, title string, number int"
+    none = spark.createDataFrame([], schema)
     if not enabled:
         return none, "none"
     if model is not None and backend in ("auto", "model"):
         try:
-            made: list[tuple[str, str, str]] = []
+            made: list[tuple[str, str, str, int]] = []
             current: list[tuple[str, str]] = []
             video = None
             for r in prompts.select("video_id", "event_id", "prompt").orderBy("video_id", "event_id").toLocalIterator():
                 if r["video_id"] != video and current:
-                    made += [(video, e, t) for e, t in model(current)]
+                    made += [(video, e, t, n) for n, (e, t) in enumerate(model(current))]
                     current = []
                 video = r["video_id"]
                 current.append((r["event_id"], r["prompt"]))
             if current:
-                made += [(video, e, t) for e, t in model(current)]
-            return spark.createDataFrame(made, "video_id string, event_id string, title string"), "model"
+                made += [(video, e, t, n) for n, (e, t) in enumerate(model(current))]
+            return spark.createDataFrame(made, schema), "model"
         except Exception:  # a backend may fail in any way; the terms always work
-            pass
-    return distinctive_titles(events), "heuristic"
+            log.exception("the title model failed; titles are distinctive terms")
+    return distinctive_titles(events).withColumn("number", F.lit(0)), "heuristic"
