@@ -10,6 +10,7 @@ from tidemark.llm import htmltext as H
         ("<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>One &amp; two&nbsp;three.<br>Next\n line.</p></article><footer>c</footer></body>", "Title\nOne & two three.\nNext line."),
         ("<article><p><b>Unclosed.<br><p>More text here.<script>var t='</p>';</script><style>p{}</style><!-- no --></article", "Unclosed.\nMore text here."),
         ("<body><div class='cookie-notice'><p>We use cookies.</p></div><div class='post-content'><p>A real sentence of text.</p><p>Short.</p></div><div id='comments'><div class='comment'><p>Nice text, I agree with it all.</p></div></div></body>", "A real sentence of text.\nShort."),
+        ("<article><p>x <math><mi>a</mi><mo>+</mo><mi>b</mi></math> tail words here.</p><p>A <noscript>plain</noscript> and <object>other</object> text<script>1</script>, all of it.</p></article>", "x a+b tail words here.\nA plain and other text, all of it."),
         ("<article><p>Some text here.</p><form><label>Mail</label><input><button>Send</button></form><div class='ad'>Buy this now.</div><p>Last one.</p></article>", "Some text here.\nLast one."),
     ],
 )
@@ -48,6 +49,11 @@ def test_marginals_equal_enumeration():
     assert log(2) > 0
 
 
+def test_very_long_page():
+    page = "<body><nav><a href=x>Home</a></nav><article>" + "".join(f"<p>Paragraph number {i} of a very long page.</p>" for i in range(20_000)) + "</article></body>"
+    assert H.main_text(page) == "\n".join(f"Paragraph number {i} of a very long page." for i in range(20_000))
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Hello there.</p></article>", "t"), (1, "u", "<article><p>Hello there.</p></article>", "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in H.extract_text(df).collect()) == [("1", "Hello there.", 12), ("1", "Hello there.", 12), ("None", "", 0)]

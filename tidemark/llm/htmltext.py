@@ -30,7 +30,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-UNSHOWN = ("script", "style", "title", "noscript", "template", "textarea", "iframe", "svg", "math", "object")
+INLINE |= frozenset("canvas math mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover noscript object semantics slot svg g text tspan".split())
+UNSHOWN = ("script", "style", "title", "template", "textarea", "iframe", "annotation", "annotation-xml", "desc", "metadata")
 CLOSED_BY_BLOCK = frozenset(["p"])
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSE_BARRIER = frozenset("ul ol dl table body html article section div main aside nav footer header form".split())
@@ -115,12 +116,12 @@ def parse(page: str) -> Tree:
             if tag in INLINE:
                 links += tag == "a"
                 continue
-            flush()
-            if tag in _ENDS:
+            if tag in _ENDS:  # nothing of it shows, and it ends no block
                 if not m[2].endswith("/"):
                     stop = _ENDS[tag].search(page, at)
                     at = stop.end() if stop else end
                 continue
+            flush()
             if tag in VOID:
                 continue
             close(SAME_CLOSES.get(tag, ("p",)) if tag in SAME_CLOSES else ("p",))
