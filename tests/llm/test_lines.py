@@ -1,18 +1,20 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import lines
 
 SCHEMA = "doc_id long, text string, source string, n_lines string"
 STRIP = " \t\x0b\x0c\r"
 
 
-def brute(rows, sites, chars):
+def brute(rows, sites, short):
     where = {}
     for _, t, s in rows:
         for x in (t or "").split("\n"):
-            if s is not None and len(x.strip(STRIP)) >= chars:
+            if s is not None and x.strip(STRIP):
                 where.setdefault(x.strip(STRIP), set()).add(s)
-    bad = {x for x, s in where.items() if len(s) >= sites}
+    bad = {x for x, s in where.items() if len(s) >= (short if len(x) < 20 else sites)}
     out = []
     for i, t, _ in rows:
         ls = [] if t is None else t.split("\n")
@@ -26,9 +28,12 @@ def test_equals_brute_force(spark):
     pool = [f"a line of some length, number {i}" for i in range(40)] + ["short", ""]
     rows = [(i, "\n".join(r.choice(["", "  "]) + r.choice(pool[: r.choice([3, 20, 42])]) for _ in range(r.randint(0, 8))), r.choice([f"s{k}" for k in range(30)] + [None])) for i in range(300)]
     rows += [(900, None, "s1"), (901, "", "s1"), (None, pool[0] + "\nkeep this one please, it is unique", "s2"), (5, pool[0], "s3"), (5, pool[1] + "\nx", None)]
-    df = spark.createDataFrame([(*x, "") for x in rows], SCHEMA).repartition(3)
-    for sites in (2, 8, 20, 25):
-        assert sorted(map(tuple, lines.remove_boilerplate(df, min_sites=sites).collect()), key=str) == brute(rows, sites, 20)
+    rows += [(902, "\n".join(f"own line {i} of a very long text" for i in range(40_000)) + "\n short", "s5"), (903, "é ü\u00a0", "s6"), (903, "é ü\u00a0", "s6")]
+    df = spark.createDataFrame([(*x, "") for x in rows], SCHEMA).withColumn("_key", F.lit("k")).withColumn("_hits", F.lit(1)).repartition(3)
+    for sites, short, most in ((2, 3, 1 << 20), (8, 12, 0), (20, 25, 1 << 20), (25, 20, 0)):
+        got = lines.remove_boilerplate(df, min_sites=sites, short_sites=short, broadcast_lines=most)
+        assert got.columns == ["doc_id", "n_lines", "n_removed", "text"]
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows, sites, short)
 
 
 def test_many_sites_are_estimated(spark):
