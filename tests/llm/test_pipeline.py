@@ -46,3 +46,24 @@ def test_stages_equal_a_plain_version(spark, tmp_path):
 
 def test_stage_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "token_files"]
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing names, a long text; then empty tables."""
+    good = "the same words of a text in english that all of us can read and that goes on for some time"
+    rows = [(i, f"{good} {i} {i * 7}", "en", "a", 1) for i in range(30)] + [(3, f"{good} 3 21", "en", "a", 1)] * 2
+    rows += [(None, good, None, None, None), (50, None, "en", "a", None), (51, "", None, "b", 0), (52, (good + " ") * 3000, "en", None, 9)]
+    rows += [(60 + i, " ".join(f"mot{k}é" for k in range(i, i + 20)), "fr", "b", 1) for i in range(30)]
+    extra = "leaking string, gone string, _key string, _row int, _copies int"
+    df = spark.createDataFrame([(*x, "l", "g", "k", 1, 2) for x in rows], f"{SCHEMA}, {extra}")
+    for name, docs, bench in (("some", df, [(1, good), (2, None), (None, "x")]), ("none", df.where("false"), []), ("all", df.where("text IS NULL"), [])):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        kept = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES:
+            before, kept = kept, function(spark, kept, f"{tmp_path}/{name}")
+            assert stage == "token_files" or kept.columns == before.columns
+            kept.write.parquet(f"{tmp_path}/{name}/{stage}")
+            kept = spark.read.parquet(f"{tmp_path}/{name}/{stage}")
+        assert kept.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+        assert (kept.count() > 0) == (name == "some")
