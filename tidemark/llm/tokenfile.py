@@ -37,8 +37,8 @@ from .textkernel import slices
 MAGIC = b"TMKTOK02"
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens that a task remembers; the memory is emptied when full, which changes no id.
-CACHE = 150_000
+#: Pre-tokens that a worker remembers (some 100 MB); the memory is emptied when full, which changes no id.
+CACHE = 500_000
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 8 << 20
 #: Of a long document, so many bytes of ids go into the training of the dictionary.
@@ -65,8 +65,7 @@ class _Encoder:
             and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         )
         # The library cuts added tokens out of a text first; texts that hold one go to it as a whole.
-        added = [t["content"] for t in spec.get("added_tokens") or () if t["content"]]
-        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.added = [t["content"] for t in spec.get("added_tokens") or () if t["content"]]
         if self.fast:
             self.pattern = regex.compile(PATTERN)
             printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -83,7 +82,7 @@ class _Encoder:
             self.cache = Cache()
 
     def encode(self, text: str, end: bytes) -> bytes:
-        if not self.fast or self.added and self.added.search(text):
+        if not self.fast or any(x in text for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes() + end
         if len(self.cache) > CACHE:
             self.cache.clear()
