@@ -97,7 +97,10 @@ def search_events(events: DataFrame, query: str, options: SearchOptions | None =
     df = hits.groupBy("_w").agg(F.count("*").alias("_df"))
     scored = hits.join(df, "_w").join(F.broadcast(stats))
     gain = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)) * F.col("_tf") * (o.k1 + 1) / (F.col("_tf") + o.k1 * (1 - o.b + o.b * F.col("_len") / F.col("_avg")))
-    ranked = scored.groupBy(event).agg(F.sum(gain).alias("bm25")).withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("bm25"), event)))
+    ranked = scored.groupBy(event).agg(F.sum(gain).alias("bm25"))
+    if other_rank is None:
+        ranked = ranked.orderBy(F.desc("bm25"), event).limit(o.top_k)  # only these are ranked in one task
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("bm25"), event)))
     fused = ranked.withColumn("score", 1.0 / (o.rrf_k + F.col("_rank")))
     if other_rank is not None:
         fused = fused.join(other_rank.select(event, F.col("rank").alias("_other")), event, "full").withColumn(

@@ -362,10 +362,39 @@ def segment_full(spark, d):
 
 
 def _two_channels(spark, d):
-    dense = T.read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = T.read(spark, d, "documents").join(dense, "doc_id").select(F.col("source").alias("video_id"), "doc_id", "text", "embedding")
-    pos = (F.row_number().over(Window.partitionBy("video_id").orderBy("doc_id")) - 1).cast("int")
-    return docs.select("video_id", pos.alias("pos"), F.col("doc_id").cast("int").alias("frame_idx"), "embedding", F.col("text").alias("ocr_text"), F.substring("text", 1, 40).alias("transcript_text")).withColumn("time_sec", F.col("pos") * 30.0)
+    """All documents, whole, with the vector of the same number where there is one; every third text is speech as well."""
+    dense = T.read(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("frame_idx"), "embedding")
+    docs = T.text_samples(spark, d).join(dense, "frame_idx", "left")
+    return docs.select("video_id", "pos", "frame_idx", "embedding", F.col("text").alias("ocr_text"), F.when(F.col("frame_idx") % 3 == 0, F.col("text")).alias("transcript_text"), (F.col("pos") * 30.0).alias("time_sec"))
+
+
+FUSED = BAND + """,
+mirrored AS (SELECT video_id, pos, d, sim FROM band UNION ALL SELECT video_id, pos + d, d, sim FROM band),
+grid AS (SELECT t.video_id, t.pos, s.n, unnest([1, 2, 3]) AS d FROM texts t JOIN sizes s USING (video_id)),
+spans AS (SELECT video_id, pos, any_value(n) AS n, sum((1 - d / 4.0) * ((pos >= d)::INT + (pos + d < n)::INT)) AS weight FROM grid GROUP BY ALL),
+tot AS (SELECT video_id, pos, sum(sim * (1 - d / 4.0)) AS total FROM mirrored GROUP BY ALL),
+spoken AS (SELECT DISTINCT video_id FROM tfidf),
+screen AS (SELECT e.video_id, e.pos, (CASE WHEN s.video_id IS NULL THEN 0.0 WHEN n = 1 THEN 1.0 ELSE coalesce(total, 0) / weight END)::DOUBLE AS c FROM spans e LEFT JOIN spoken s USING (video_id) LEFT JOIN tot USING (video_id, pos)),
+screen_stats AS (SELECT video_id, avg(c) AS mean, stddev_pop(c) AS sd FROM screen GROUP BY video_id),
+dense AS (SELECT t.video_id, t.pos, t.frame_idx, (t.pos * 30.0)::DOUBLE AS time_sec, v.embedding::DOUBLE[] AS e FROM texts t LEFT JOIN embeddings v ON v.vec_id = t.frame_idx)""" + T.CURVE[len(T.DENSE):].replace("\nscored AS", "\ndense_scored AS") + """,
+seen AS (SELECT video_id, count(e) > 0 AS has_dense FROM dense GROUP BY video_id),
+apart AS (SELECT k.video_id, k.pos, k.frame_idx, k.time_sec, k.c AS c_dense, x.c AS c_screen, st.n, st.last, has_dense, sp.video_id IS NOT NULL AS has_screen,
+  CASE WHEN st.sd < 1e-8 THEN 0.0 ELSE (k.c - st.mean) / st.sd END AS z_dense, CASE WHEN xt.sd < 1e-8 THEN 0.0 ELSE (x.c - xt.mean) / xt.sd END AS z_screen
+  FROM curve k JOIN stats st USING (video_id) JOIN screen x USING (video_id, pos) JOIN screen_stats xt USING (video_id) JOIN seen USING (video_id) LEFT JOIN spoken sp USING (video_id)),
+scored AS (SELECT *, round(CASE WHEN has_dense AND has_screen THEN (z_dense + z_screen) / 2 WHEN has_dense THEN z_dense WHEN has_screen THEN z_screen END, 6) + 0.0 AS z FROM apart)"""
+
+
+@query("fused_curve", f"WITH {FUSED} SELECT video_id, pos, round(c_dense, 6) AS c_dense, round(c_screen, 6) AS c_screen, z AS fused FROM scored")
+def fused_curve(spark, d):
+    """Vectors and screen texts of every document, half and half."""
+    curves, _ = segments.channel_curves(_two_channels(spark, d), SegmentOptions())
+    return curves.select("video_id", "pos", r6("c_dense").alias("c_dense"), r6("c_screen").alias("c_screen"), "fused")
+
+
+@query("segment_fused", f"WITH {FUSED}{T.MINIMA}{GAP.format(bounds='minima', gap=20)}{EVENTS_SQL.format(bounds='long_bounds')}".replace("WITH ", "WITH RECURSIVE ", 1))
+def segment_fused(spark, d):
+    """Events of the fused curve, with room for every part; segment_full merges."""
+    return _flat_events(segments.segment(_two_channels(spark, d), options=SegmentOptions(target=1 << 30, max_events=1 << 30))[0])
 
 
 @query("segment_channels")
@@ -451,9 +480,9 @@ def title_join(spark, d):
     return evidence.join_titles(t.withColumn("title", F.lit("")), titles, order="ord").select("video_id", "event_id", "title")
 
 
-@query("combined_text", f"WITH {T.TURNS} SELECT video_id, event_id, CASE turn % 3 WHEN 0 THEN role || '  ' || text WHEN 1 THEN role ELSE text END AS combined FROM turns WHERE text <> ''")
+@query("combined_text", f"WITH {T.TURNS} SELECT video_id, event_id, CASE turn % 3 WHEN 0 THEN role || '  ' || text WHEN 1 THEN role ELSE text END AS combined FROM turns")
 def combined_text(spark, d):
-    t = T.turns(spark, d).where("text <> ''")
+    t = T.turns(spark, d)
     return t.select("video_id", "event_id", C.combined_text(F.when(F.col("turn") % 3 != 2, F.col("role")), F.when(F.col("turn") % 3 != 1, F.col("text"))).alias("combined"))
 
 
@@ -528,10 +557,18 @@ def selected_frames(spark, d):
     return retrieve.select_frames(_relevance(spark, d), keys=QK).select("frame_idx", "time_sec", "event_index", r6("relevance").alias("relevance"), "is_anchor")
 
 
-@query("search_events")
+@query("search_events", f"""WITH {T.TURNS}, texts AS (SELECT video_id || '-' || event_id AS event_id, text FROM turns), split AS (SELECT event_id, {TOK} AS l FROM texts),
+sizes AS (SELECT count(*) AS n, avg(len(l)) AS mean FROM split),
+hits AS (SELECT event_id, len(l) AS size, unnest(l) AS w FROM split), tf AS (SELECT event_id, size, w, count(*) AS tf FROM hits WHERE w IN ('the', 'and', 'of') GROUP BY ALL),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+scores AS (SELECT event_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))) AS bm25 FROM tf JOIN df USING (w), sizes GROUP BY event_id),
+best AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, event_id) AS r FROM scores QUALIFY r <= 5)
+SELECT event_id, round(bm25, 6) AS bm25, round(1 / (60.0::DOUBLE + r), 6) AS score,
+  substr(text, greatest(1, coalesce(list_min(list_filter([strpos(lower(text), 'and'), strpos(lower(text), 'of'), strpos(lower(text), 'the')], lambda x: x > 0)), 1) - 40)::BIGINT, 80) AS snippet FROM best JOIN texts USING (event_id)""")
 def search_events(spark, d):
     q = "the and of"
-    return retrieve.search_events(T.turns(spark, d).select(F.concat_ws("-", "video_id", "event_id").alias("event_id"), "text"), q)
+    found = retrieve.search_events(T.turns(spark, d).select(F.concat_ws("-", "video_id", "event_id").alias("event_id"), "text"), q)
+    return found.select("event_id", r6("bm25").alias("bm25"), r6("score").alias("score"), "snippet")
 
 
 @query("streaming_sample", GREEDY)
