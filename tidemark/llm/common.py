@@ -4,22 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shared import materialise, new_path, shared_dir
+from ..shared import bound_batches, materialise, new_path, shared_dir
 
 __all__ = ["bound_batches", "materialise", "new_path", "shared_dir", "table"]
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession, size: str = "2m") -> None:
-    """Limit the bytes of a batch that goes to Python, unless the session has a limit of its own.
-
-    Spark's default bounds rows, so a batch of long texts takes tens of megabytes several times over in each task.
-    The setting holds when a query is run, so it stays in the session.
-    """
-    if spark.conf.get(BATCH_BYTES, "64m") in ("64m", "67108864b", str(64 << 20)):
-        spark.conf.set(BATCH_BYTES, size)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..model import LabelOptions, SegmentOptions, SelectOptions
 from ..operators import evidence, intervals, retrieve, segments, series, text
+from ..shared import materialise
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -362,10 +363,11 @@ def segment_full(spark, d):
 
 
 def _two_channels(spark, d):
-    """All documents, whole, with the vector of the same number where there is one; every third text is speech as well."""
+    """All documents as samples, with the vector of the same number where there is one, and their whole texts apart; every third text is speech as well."""
     dense = T.read(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("frame_idx"), "embedding")
-    docs = T.text_samples(spark, d).join(dense, "frame_idx", "left")
-    return docs.select("video_id", "pos", "frame_idx", "embedding", F.col("text").alias("ocr_text"), F.when(F.col("frame_idx") % 3 == 0, F.col("text")).alias("transcript_text"), (F.col("pos") * 30.0).alias("time_sec"))
+    samples = T.text_numbers(spark, d).join(dense, "frame_idx", "left").select("video_id", "pos", "frame_idx", "embedding", (F.col("pos") * 30.0).alias("time_sec"))
+    texts = T.read(spark, d, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").cast("int").alias("frame_idx"), F.col("text").alias("ocr_text"))
+    return materialise(samples, "samples"), texts.withColumn("transcript_text", F.when(F.col("frame_idx") % 3 == 0, F.col("ocr_text")))
 
 
 FUSED = BAND + """,
@@ -387,21 +389,24 @@ scored AS (SELECT *, round(CASE WHEN has_dense AND has_screen THEN (z_dense + z_
 @query("fused_curve", f"WITH {FUSED} SELECT video_id, pos, round(c_dense, 6) AS c_dense, round(c_screen, 6) AS c_screen, z AS fused FROM scored")
 def fused_curve(spark, d):
     """Vectors and screen texts of every document, half and half."""
-    curves, _ = segments.channel_curves(_two_channels(spark, d), SegmentOptions())
+    samples, texts = _two_channels(spark, d)
+    curves, _ = segments.channel_curves(samples, SegmentOptions(), texts=texts, at="frame_idx")
     return curves.select("video_id", "pos", r6("c_dense").alias("c_dense"), r6("c_screen").alias("c_screen"), "fused")
 
 
 @query("segment_fused", f"WITH {FUSED}{T.MINIMA}{GAP.format(bounds='minima', gap=20)}{EVENTS_SQL.format(bounds='long_bounds')}".replace("WITH ", "WITH RECURSIVE ", 1))
 def segment_fused(spark, d):
     """Events of the fused curve, with room for every part; segment_full merges."""
-    return _flat_events(segments.segment(_two_channels(spark, d), options=SegmentOptions(target=1 << 30, max_events=1 << 30))[0])
+    samples, texts = _two_channels(spark, d)
+    return _flat_events(segments.segment(samples, options=SegmentOptions(target=1 << 30, max_events=1 << 30), texts=texts, at="frame_idx")[0])
 
 
 @query("segment_channels")
 def segment_channels(spark, d):
     """Two fused channels, merged over part sums of vectors and term weights, with evidence and titles."""
-    events, numbered = segments.segment(_two_channels(spark, d), options=SegmentOptions(target=4))
-    full = evidence.attach_evidence(events, numbered)
+    samples, texts = _two_channels(spark, d)
+    events, numbered = segments.segment(samples, options=SegmentOptions(target=4), texts=texts, at="frame_idx")
+    full = evidence.attach_evidence(events, numbered.join(texts, ["video_id", "frame_idx"]))
     titled = evidence.join_titles(full, evidence.distinctive_titles(full), order="title")
     return titled.select("video_id", "event_id", "start_frame", "end_frame", "start_time", "end_time", "title", "ocr_text", "transcript_text")
 
