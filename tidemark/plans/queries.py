@@ -228,7 +228,7 @@ def adjacent_cosine(spark, d):
 
 @query("pairwise_cosine", f"WITH {T.DENSE} SELECT x.video_id, x.pos AS a, y.pos AS b, round(list_inner_product(x.e, y.e), 6) AS sim FROM dense x JOIN dense y ON x.video_id = y.video_id")
 def pairwise_cosine(spark, d):
-    return series.pairwise_similarity(T.dense_samples(spark, d), keys=VK, order="pos", vector="embedding", out="sim").withColumn("sim", r6("sim"))
+    return series.pairwise_similarity(T.dense_samples(spark, d), keys=VK, order="pos", vector="embedding", out="sim", digits=6)
 
 
 def _dense_curve(spark, d):
