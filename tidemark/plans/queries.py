@@ -406,9 +406,7 @@ def segment_channels(spark, d):
     """Two fused channels, merged over part sums of vectors and term weights, with evidence and titles."""
     samples, texts = _two_channels(spark, d)
     events, numbered = segments.segment(samples, options=SegmentOptions(target=4), texts=texts, at="frame_idx")
-    full = evidence.attach_evidence(events, numbered.join(texts, ["video_id", "frame_idx"]))
-    titled = evidence.join_titles(full, evidence.distinctive_titles(full), order="title")
-    return titled.select("video_id", "event_id", "start_frame", "end_frame", "start_time", "end_time", "title", "ocr_text", "transcript_text")
+    return evidence.titled_events(events, numbered, texts, passed=["start_frame", "end_frame", "start_time", "end_time"])
 
 
 STAMP = "CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END"
